@@ -1,0 +1,123 @@
+"""Substring dedup by hashing lines (op 9).
+
+A unit is a line (split at the line feed) with at least ``min_words`` words once it is normalised: lower case, every
+run of white space one space, trimmed. Of all occurrences of a unit's digest in the corpus the first stays, in order
+of (document id, null last; digest of the document; offset); the others are removed, with their offsets in
+the original text retained. Shorter lines are never touched: they repeat by chance.
+
+Defined results: rows that repeat with equal id and text are one document and keep or lose alike; a null or empty
+text has no units and stays as it is; a document all of whose text goes stays, with an empty text; a table without
+rows gives none. Other columns pass through untouched, whatever their names.
+
+Scale: per unit 45 bytes are shuffled, once to count (summed up before the shuffle, so a digest that a third of all
+documents carry is one row a task) and once to join; the join is salted, so such a digest is spread too.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftlens.llm.common import ship, written
+
+MIN_WORDS = 20
+SALTS = 16
+
+
+def units_of(text: str | None, min_words: int) -> list[tuple[bytes, int, int]]:
+    """(digest, start, end) of each unit, in code points."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        if len(line) >= 2 * min_words - 1 and len(words := line.lower().split()) >= min_words:
+            out.append((hashlib.md5(" ".join(words).encode()).digest(), at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
+def _units(min_words: int):
+    @F.pandas_udf("array<struct<digest:binary,start:long,end:long>>")
+    def find_units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[dict(zip(("digest", "start", "end"), u)) for u in units_of(t, min_words)] for t in s], dtype=object)
+
+    return find_units
+
+
+def _row(key: str, text: str):
+    """Digest that tells a row of one id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Every occurrence to remove: row (digest of the document), key, start, end, kept_id, kept_start, digest."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("id"), _row(key, text).alias("row"), _units(min_words)(F.col(text)).alias("units"))
+    flat = rows.select("id", "row", F.inline("units"))
+    units = written(flat.select("id", "row", "digest", "start", "end"), "units")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("row"), "start")
+    # min and count are summed up in each task before anything moves
+    groups = units.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    repeated = groups.where(F.col("first") != F.col("last")).select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = units.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    found = salted.join(repeated, ["digest", "salt"])
+    gone = found.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    return gone.select("row", F.col("id").alias(key), "start", "end", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"), "digest")
+
+
+def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """repeated_spans with one row for each span of a document, however often its row repeats."""
+    spans = repeated_spans(docs, min_words=min_words)
+    once = spans.groupBy("row", "start").agg(*[F.first(c).alias(c) for c in ("doc_id", "end", "kept_id", "kept_start", "digest")])
+    return once.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("kept_id").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_char"), F.lower(F.hex("digest")).alias("digest"))
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the repeated units cut out of their texts, each with the line feed that followed it; the same columns and rows."""
+    spans = repeated_spans(docs, key, text, min_words)
+    cuts = written(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")), "cuts")
+
+    @F.pandas_udf("string")
+    def cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, cuts_of in batches:
+            yield pd.Series([_without(t, c) for t, c in zip(texts, cuts_of)], dtype=object)
+
+    mark, was = "__row", "__cuts"
+    joined = docs.withColumn(mark, _row(key, text)).join(cuts.select(F.col("row").alias(mark), F.col("cuts").alias(was)), mark, "left")
+    touched = F.col(was).isNotNull()
+    starts_ends = F.transform(F.coalesce(F.col(was), F.array()), lambda c: F.array(c["start"], c["end"]))
+    # only rows with cuts carry their text to Python
+    new = F.when(touched, cut_out(F.when(touched, F.col(text)), starts_ends)).otherwise(F.col(text))
+    out = joined.withColumn(text, new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length(text).cast("long")).otherwise(F.col("n_chars").cast("long")))
+    return out.select(*docs.columns)
+
+
+def _without(text, cuts):
+    if text is None or cuts is None or not len(cuts):
+        return text
+    parts, at = [], 0
+    for start, end in cuts:
+        parts.append(text[at:start])
+        at = int(end) + 1
+    parts.append(text[at:])
+    out = "".join(parts)
+    return out[:-1] if cuts[-1][1] >= len(text) and out.endswith("\n") else out
+
+
+def oracle_sql(min_words: int = MIN_WORDS) -> str:
+    """DuckDB SQL for report() over documents."""
+    return f"""
+    WITH docs AS (SELECT DISTINCT doc_id, text, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS row FROM documents),
+    lines AS (SELECT doc_id, row, string_split(text, chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
+    numbered AS (SELECT doc_id, row, unnest(ls) AS line, unnest(range(len(ls))) AS i, ls FROM lines),
+    placed AS (SELECT doc_id, row, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char,
+                      trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit FROM numbered),
+    units AS (SELECT doc_id, row, start_char, start_char + length(line) AS end_char, md5(unit) AS digest FROM placed WHERE len(string_split(unit, ' ')) >= {min_words}),
+    ranked AS (SELECT *, row_number() OVER w AS rk, first_value(doc_id) OVER w AS kept_doc_id, first_value(start_char) OVER w AS kept_start_char FROM units
+               WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, row, start_char))
+    SELECT doc_id, start_char, end_char, kept_doc_id, kept_start_char, digest FROM ranked WHERE rk > 1"""

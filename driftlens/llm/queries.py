@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import bpe, langid, linededup, mixing, records, urlrules
+from driftlens.llm import bpe, dartminhash, langid, linededup, mixing, records, urlrules
 from driftlens.llm.common import read, tokenizer_path
 
 END_ID = 2
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,6 +34,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(read(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents"))
 
@@ -36,5 +46,5 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(read(spark, sf_dir, "pages"), ["page_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op4_pfair_mix, op6_token_records, op9_line_dedup, op10_url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_bpe_round_trip, op3_language_id, op4_pfair_mix, op6_token_records, op8_dart_minhash, op9_line_dedup, op10_url_rules)}
 ORACLES: dict[str, str] = {"op9_line_dedup": linededup.oracle_sql(), "op10_url_rules": urlrules.oracle_sql()}

@@ -362,7 +362,15 @@ def encode(text: Column, tokenizer: str) -> Column:
     def bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(tokenizer)
         for s in batches:
-            yield pd.Series(list(bpe.encode_many(s)), dtype=object)
+            out: list[bytes] = []
+            size = 0
+            for ids in bpe.encode_many(s):
+                out.append(ids)
+                size += len(ids)
+                if size > CHUNK * 4:  # ids take more room than text
+                    yield pd.Series(out, dtype=object)
+                    out, size = [], 0
+            yield pd.Series(out, dtype=object)
 
     return bpe_encode(text)
 

@@ -58,11 +58,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
+BATCH = 8 << 20  # bytes of an Arrow batch
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the executors' path, once an application."""
+    """Put this package on the executors' path, once an application; bound what a Python worker is sent at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

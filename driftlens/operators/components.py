@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+from driftlens.sources.tables import cut
 
 
 def connected(ties: DataFrame) -> DataFrame:
@@ -27,13 +14,13 @@ def connected(ties: DataFrame) -> DataFrame:
     Every round sends each item's label to its ties and back, and lets labels jump to their own labels, so the number of rounds
     grows with the logarithm of a component's length.
     """
-    ties = _cut(ties.select("item", "tie").distinct())
-    labels = _cut(ties.select("item").distinct().withColumn("component", F.col("item")))
+    ties = cut(ties.select("item", "tie").distinct())
+    labels = cut(ties.select("item").distinct().withColumn("component", F.col("item")))
     while True:
         low = ties.join(labels, "item").groupBy("tie").agg(F.min("component").alias("low"))
         near = ties.join(low, "tie").groupBy("item").agg(F.min("low").alias("near"))
         jump = labels.select(F.col("item").alias("near"), F.col("component").alias("lower"))
-        moved = _cut(labels.join(near, "item").join(jump, "near").select("item", F.least("near", "lower", "component").alias("new"), "component"))
+        moved = cut(labels.join(near, "item").join(jump, "near").select("item", F.least("near", "lower", "component").alias("new"), "component"))
         if moved.where("new <> component").limit(1).count() == 0:
             return moved.select("item", "component")
         labels = moved.select("item", F.col("new").alias("component"))

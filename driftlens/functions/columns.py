@@ -31,7 +31,7 @@ def norm_tokens(name) -> Column:
 def stem_tokens(name) -> Column:
     """norm_tokens without one leading role word and without stop words, as a set."""
     t = norm_tokens(name)
-    peeled = F.when((F.size(t) > 1) & F.array_contains(words(K.ROLE_PREFIXES), F.element_at(t, 1)), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1)))).otherwise(t)
+    peeled = F.when((F.size(t) > 1) & F.array_contains(words(K.ROLE_PREFIXES), F.try_element_at(t, F.lit(1))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1)))).otherwise(t)
     return F.array_except(peeled, words(K.STEM_STOPWORDS))
 
 
@@ -137,7 +137,7 @@ def is_test_path(path) -> Column:
     p = c(path)
     segments = F.split(F.lower(p), "/")
     folders = F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))
-    base = F.element_at(F.split(p, "/"), -1)
+    base = F.try_element_at(F.split(p, "/"), F.lit(-1))
     named = base.rlike(r"(_test\.go|_test\.py|_test\.rs)$") | base.rlike(r"^test_.*\.py$") | base.isin("conftest.py", "tests.rs", "test.rs") | base.rlike(r"\.(test|spec)\.")
     return F.arrays_overlap(folders, words(K.TEST_DIRS)) | named
 
@@ -168,7 +168,7 @@ def opposed(name_a, name_b) -> Column:
     a, b = F.array_distinct(norm_tokens(name_a)), F.array_distinct(norm_tokens(name_b))
     x, y = F.array_except(a, b), F.array_except(b, a)
     one = (F.size(x) == 1) & (F.size(y) == 1)
-    pair = F.concat(F.least(F.element_at(x, 1), F.element_at(y, 1)), F.lit("/"), F.greatest(F.element_at(x, 1), F.element_at(y, 1)))
+    pair = F.concat(F.least(F.try_element_at(x, F.lit(1)), F.try_element_at(y, F.lit(1))), F.lit("/"), F.greatest(F.try_element_at(x, F.lit(1)), F.try_element_at(y, F.lit(1))))
     return F.coalesce(F.when(one, pair.isin(["/".join(sorted(p)) for p in K.OPPOSED])), F.lit(False))
 
 
@@ -208,7 +208,7 @@ def _field_copy(p: str) -> Column:
 
 def false_alarm_hint(l: str = "l_", r: str = "r_") -> Column:  # noqa: E741
     ra, rb = receiver_of(l + "qualname"), receiver_of(r + "qualname")
-    routed = lambda p: F.element_at(F.split(F.col(p + "file"), "/"), -1).isin(K.ROUTE_FILES) & F.col(p + "name").isin(K.ROUTE_NAMES)
+    routed = lambda p: F.try_element_at(F.split(F.col(p + "file"), "/"), F.lit(-1)).isin(K.ROUTE_FILES) & F.col(p + "name").isin(K.ROUTE_NAMES)
     return F.when((ra != "") & (ra == rb), "same-receiver").when(routed(l) & routed(r), "sveltekit-handler").when(_field_copy(l) & _field_copy(r), "field-copy").otherwise("")
 
 
@@ -233,7 +233,7 @@ def line_of(text, offset) -> Column:
 def stem_key(term) -> Column:
     """Term without the first listed suffix that leaves three letters of its last part."""
     t = c(term)
-    last = F.element_at(F.split(t, "-"), -1)
+    last = F.try_element_at(F.split(t, "-"), F.lit(-1))
     return reduce(lambda other, s: F.when(last.endswith(s) & (F.length(last) - len(s) >= 3), F.substring(t, F.lit(1), F.length(t) - len(s))).otherwise(other), reversed(K.SUFFIXES), t)
 
 

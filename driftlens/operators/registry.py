@@ -42,8 +42,8 @@ def _first_wins(df: DataFrame, by: Column) -> DataFrame:
 
 def pairs(parsed: DataFrame) -> DataFrame:
     ok = parsed.where((F.col("kind") == "pair") & (F.size("keys") == 2) & F.col("verdict").isNotNull())
-    key = X.pair_key(F.element_at("keys", 1), F.element_at("keys", 2))
-    return _first_wins(ok, key).select(F.element_at("keys", 1).alias("key1"), F.element_at("keys", 2).alias("key2"), key.alias("pair_key"), "verdict", X.verdict_class("verdict").alias("cls"), "canonical", "do_not_resync")
+    key = X.pair_key(F.try_element_at("keys", F.lit(1)), F.try_element_at("keys", F.lit(2)))
+    return _first_wins(ok, key).select(F.try_element_at("keys", F.lit(1)).alias("key1"), F.try_element_at("keys", F.lit(2)).alias("key2"), key.alias("pair_key"), "verdict", X.verdict_class("verdict").alias("cls"), "canonical", "do_not_resync")
 
 
 def clusters(parsed: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def clusters(parsed: DataFrame) -> DataFrame:
 
 def families(parsed: DataFrame) -> DataFrame:
     ok = parsed.where((F.col("kind") == "family") & (F.size("keys") == 2) & F.col("verdict").isNotNull())
-    part = lambda i, j: F.element_at(F.split(F.element_at("keys", i), "::"), j)
+    part = lambda i, j: F.try_element_at(F.split(F.try_element_at("keys", F.lit(i)), "::"), F.lit(j))
     return ok.select(part(1, 1).alias("glob1"), part(1, 2).alias("name1"), part(2, 1).alias("glob2"), part(2, 2).alias("name2"), "verdict")
 
 
@@ -65,7 +65,7 @@ def roles(parsed: DataFrame) -> DataFrame:
 
 def family_condition(families_rows: list, left: str = "left_key", right: str = "right_key") -> Column:
     """Whether a pair of keys belongs to one of the given families, in either order. Families are few and written by people."""
-    file, name = (lambda k: F.element_at(F.split(F.col(k), "::"), 1)), (lambda k: F.regexp_extract(F.col(k), r"::(.*)$", 1))
+    file, name = (lambda k: F.try_element_at(F.split(F.col(k), "::"), F.lit(1))), (lambda k: F.regexp_extract(F.col(k), r"::(.*)$", 1))
     out = F.lit(False)
     for r in families_rows:
         one = lambda k, g, n: X.match_any(file(k), [g]) & (F.lit(n == "*") | (name(k) == n))
@@ -152,7 +152,7 @@ def pruned(files: DataFrame, dead: DataFrame) -> DataFrame:
     island = F.sum((opener | ~attr).cast("int")).over(by)
     marked = lines.withColumn("island", island)
     keys = F.filter(F.split(F.regexp_replace(F.regexp_extract(X.trimmed("line"), r"^- pair:(.*)$", 1), r"[\s`]", ""), r"\|"), lambda k: k != "")
-    heads = marked.where(X.trimmed("line").startswith("- pair:")).select("file", "island", X.pair_key(F.element_at(keys, 1), F.element_at(keys, 2)).alias("pair_key"))
+    heads = marked.where(X.trimmed("line").startswith("- pair:")).select("file", "island", X.pair_key(F.try_element_at(keys, F.lit(1)), F.try_element_at(keys, F.lit(2))).alias("pair_key"))
     gone = heads.join(dead.select("pair_key").distinct(), "pair_key", "left_semi").select("file", "island")
     kept = marked.join(gone, ["file", "island"], "left_anti")
     return kept.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l")).select("file", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))

@@ -225,10 +225,22 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.where(_estimate_udf()("sig_a", "sig_b") >= LEAST).select("a", "b")
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose node is wanted, and a few more: a bitmap of 2 ** 26 bits (8 MB at any size of wanted) goes to every task.
+
+    Once it is full it lets all rows through, so it only saves moving texts and never decides anything.
+    """
+    at = lambda: F.pmod(F.xxhash64("node"), F.lit(1 << 26))
+    bits = wanted.select(F.bitmap_bucket_number(at()).alias("part"), F.bitmap_bit_position(at()).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = rows.withColumns({"__part": F.bitmap_bucket_number(at()), "__bit": F.bitmap_bit_position(at())}).join(F.broadcast(bits), F.col("__part") == F.col("part"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.withColumn("__byte", byte).where(F.col("__byte").bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Pairs (a, b) whose whole texts are similar enough. pairs: written."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(docs.select(text_key(F.col(text)).alias("node"), F.col(text).alias("text")).join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = written(_marked(docs.select(text_key(F.col(text)).alias("node"), F.col(text).alias("text")), needed).dropDuplicates(["node"]), "texts")
     of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     held = pairs.join(of("a"), "a").join(of("b"), "b")
     return held.where(_similarity_udf()("text_a", "text_b") >= THRESHOLD).select("a", "b")

@@ -33,7 +33,8 @@ COMMON_IDENTS = (
     "int32 int64 int8 iota isinstance issubclass items join keys len list make map new nil panic print println range real recover repr reversed rune set setattr sorted split str "
     "string strip super true tuple uint uint16 uint32 uint64 uint8 uintptr update values zip"
 ).split()
-SUFFIXES = "izations ization esses ies ing ed es s er est ly tion sion ment able ible".split()
+#: tried in this order; izations before s, ization before tion, esses and ies before es before s
+SUFFIXES = "able ible ment ly est er ed ing izations ization esses ies es s sion tion".split()
 SYNONYM_STOP = (
     "about after also although another back because been before between both came comes could during each even felt feel from gets give given goes going have however into itself "
     "just knew know known less like look looked looks made make many more most much only other ourselves same seem seems should show shows since some still such take taken than "

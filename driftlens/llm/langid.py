@@ -11,7 +11,7 @@ log P(language | row) = text + declared markup language + address suffix + host
   parent domain, these towards those of all rows, these towards equal shares (``STRENGTH`` rows' worth each time). The
   counts are of each row's best language by text and declaration alone.
 
-A row is rejected if no language reaches ``ACCEPT``: its letters fit no language. Defined results: a null or empty text
+A row of ``REJECT_FROM`` characters or more is rejected if ``und`` has at least ``REJECT``: its letters fit no language. Defined results: a null or empty text
 is no evidence, so declaration and priors decide, and it stays; a null or unknown declaration, host or URL is none;
 repeated rows are judged each; a table without rows, or without declared languages, gives ``und`` with nothing rejected.
 
@@ -28,15 +28,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ship, written
+from driftlens.llm.common import ship, through, written
 
 SAMPLE_ROWS = 2000
 BINS = 1 << 15
 TEMPER = 3.0
 TRUST = 0.9
 STRENGTH = 20.0
-ACCEPT = 0.5
+REJECT, REJECT_FROM = 0.5, 200
 UND_PRIOR = 0.01
+LEAST_TRIGRAMS = 1000  # in the sample that a language must have
 LEAST_SHARE = 0.005  # of the sample that a language must have
 SALTS = 16
 UND = "und"
@@ -64,7 +65,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Tempered log-likelihood of each text under each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        step, at = 1 << 21, 0
+        step, at = 1 << 19, 0
         while at < len(texts):  # some megabytes of text at a time
             to, size = at, 0
             while to < len(texts) and (size == 0 or size < step):
@@ -79,15 +80,18 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", declared: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """Models from at most ``rows`` rows with a declared language, those of the smallest hashes of their text."""
-    sample = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(declared).alias("d"), F.xxhash64(text).alias("h"))
-    got = sample.orderBy("h", "t", "d").limit(rows).toPandas()
+    sample = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(declared).alias("d"), F.xxhash64(declared, text).alias("h"))
+    # the hashes first, so that no task or driver holds more texts than the sample has
+    last = sample.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    got = sample.where(F.col("h") <= F.lit(last)).limit(rows).toPandas().sort_values(["h", "t"])
     shares = got["d"].value_counts()
     languages = sorted(str(x) for x in shares[shares >= max(1, LEAST_SHARE * len(got))].index)
+    counts = {x: np.bincount(_bins(list(got["t"][got["d"] == x]))[0], minlength=BINS + 1)[:BINS] for x in languages}
+    # a model of hardly any text would be as flat as und
+    languages = [x for x in languages if counts[x].sum() >= LEAST_TRIGRAMS]
     table = np.zeros((len(languages) + 1, BINS + 1), dtype=np.float64)
     for k, language in enumerate(languages):
-        bins, _ = _bins(list(got["t"][got["d"] == language]))
-        counts = np.bincount(bins, minlength=BINS + 1)[:BINS]
-        table[k, :BINS] = np.log((counts + 0.02) / (counts.sum() + 0.02 * BINS))
+        table[k, :BINS] = np.log((counts[language] + 0.02) / (counts[language].sum() + 0.02 * BINS))
     table[-1, :BINS] = -np.log(BINS) if languages else 0.0
     return Model([*languages, UND], table)
 
@@ -122,7 +126,7 @@ def host_priors(docs: DataFrame, model: Model, text: str, declared: str, host: C
 
     @F.pandas_udf("int")
     def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, said in batches:
+        for texts, said in through(batches):
             logs = model.scores(list(texts)) + _declared_log(model, said)
             logs[:, -1] += np.log(UND_PRIOR)
             yield pd.Series(logs.argmax(axis=1), dtype="int32")
@@ -163,14 +167,15 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
 
     @F.pandas_udf("lang string, posterior double, keep boolean")
     def decide(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, said, evidence in batches:
+        for texts, said, evidence in through(batches):
             if not len(texts):
                 continue
             logs = model.scores(list(texts)) + _declared_log(model, said) + np.stack(list(evidence))
             p = _posterior(logs)
             k = p[:, :-1].argmax(axis=1) if p.shape[1] > 1 else np.zeros(len(p), dtype=int)
             top = p[np.arange(len(p)), k]
-            keep = (top >= ACCEPT) | (p.shape[1] == 1)
+            short = np.array([len(t or "") < REJECT_FROM for t in texts])  # a code or key in a few words is no other language
+            keep = (p[:, -1] < REJECT) | short | (p.shape[1] == 1)
             yield pd.DataFrame({"lang": np.where(keep, np.array(model.languages, dtype=object)[k], UND), "posterior": top.round(6), "keep": keep})
 
     salted = priors.select(F.col("host").alias("__lid_host"), F.col("evidence").alias("__lid_evidence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__lid_salt"))

@@ -26,12 +26,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ship
+from driftlens.llm.common import ship, through
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WIDEST = 64  # fragments of more bytes than this are merged with a heap, the others side by side in numpy
-CACHED = 1 << 20  # different pieces a worker keeps at most (about 40 bytes each)
-CHUNK = 1 << 20  # characters of text that are split into pieces at a time
+CACHED = 1 << 18  # different pieces a worker keeps at most (about 40 bytes each)
+CHUNK = 1 << 18  # characters of text that are split into pieces at a time
+SLOTS = 1 << 18  # of a hash table of merges
 LONG = 64  # pieces of more characters are not kept: their sums below would be weaker as keys
 MUL = 0x9E3779B97F4A7C15 | 1
 NONE = np.int32(2**31 - 1)
@@ -89,9 +90,9 @@ class ForcedBoundaryBPE:
         self._tables, left, rng = [], np.arange(len(keys)), np.random.default_rng(1)
         while len(left):
             mul = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
-            slot = (keys[left] * mul) >> np.uint64(44)
+            slot = (keys[left] * mul) >> np.uint64(64 - 18)
             _, first = np.unique(slot, return_index=True)
-            table = np.full(1 << 20, 2**63, dtype=np.uint64), np.full(1 << 20, NONE, dtype=np.int32), np.zeros(1 << 20, dtype=np.int32)
+            table = np.full(SLOTS, 2**63, dtype=np.uint64), np.full(SLOTS, NONE, dtype=np.int32), np.zeros(SLOTS, dtype=np.int32)
             for column, values in zip(table, (keys, ranks, news)):
                 column[slot[first]] = values[left[first]]
             self._tables.append((mul, *table))
@@ -102,7 +103,7 @@ class ForcedBoundaryBPE:
         key = a.astype(np.uint64) << np.uint64(20) | b.astype(np.uint64)
         rank, new = np.full(key.shape, NONE, dtype=np.int32), np.zeros(key.shape, dtype=np.int32)
         for mul, keys, ranks, news in self._tables:
-            slot = (key * mul) >> np.uint64(44)
+            slot = (key * mul) >> np.uint64(64 - 18)
             hit = np.nonzero(keys[slot] == key)
             at = slot[hit]
             rank[hit], new[hit] = ranks[at], news[at]
@@ -361,7 +362,7 @@ def encode(text: Column, tokenizer: str) -> Column:
     @F.pandas_udf("binary")
     def bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(tokenizer)
-        for s in batches:
+        for s in through(batches):
             out: list[bytes] = []
             size = 0
             for ids in bpe.encode_many(s):
@@ -381,7 +382,7 @@ def decode(ids: Column, tokenizer: str) -> Column:
     @F.pandas_udf("string")
     def bpe_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(tokenizer)
-        for s in batches:
+        for s in through(batches):
             yield pd.Series([bpe.decode_bytes(b) for b in s], dtype=object)
 
     return bpe_decode(ids)

@@ -76,3 +76,24 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(PACKAGE.rglob("*.py")):
             z.write(f, f.relative_to(PACKAGE.parent))
     spark.sparkContext.addPyFile(to)
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system; idle workers would keep it through later stages."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def through(batches):
+    """batches, and memory given back after the last."""
+    try:
+        yield from batches
+    finally:
+        give_back()

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ship, written
+from driftlens.llm.common import ship, through, written
 
 K, ROWS = 128, 4
 WORDS = 5
@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 SLACK = 5.0  # standard deviations below THRESHOLD at which signatures rule a pair out
 SMALL, BLOCK = 24, 512
 SALTS = 8
-CHUNK = 1 << 21  # bytes of text that are hashed at a time
+CHUNK = 1 << 19  # characters of text that are hashed at a time
 DARTS = K * math.log(K) + 2 * K
 EDGES = [0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, *[2.0**i for i in range(60)]]  # of the strips of rank
 
@@ -166,7 +166,7 @@ def similarity(a: str | None, b: str | None) -> float:
 def _signature_udf():
     @F.pandas_udf("binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in through(batches):
             out, held, size = [], [], 0
             for t in [*s, None]:
                 held.append(t)
@@ -190,8 +190,9 @@ def _estimate_udf():
 
 def _similarity_udf():
     @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in through(batches):
+            yield pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return similar
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ship, written
+from driftlens.llm.common import ship, through, written
 
 MIN_WORDS = 20
 SALTS = 16
@@ -41,7 +41,7 @@ def units_of(text: str | None, min_words: int) -> list[tuple[bytes, int, int]]:
 def _units(min_words: int):
     @F.pandas_udf("array<struct<digest:binary,start:long,end:long>>")
     def find_units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in through(batches):
             yield pd.Series([[dict(zip(("digest", "start", "end"), u)) for u in units_of(t, min_words)] for t in s], dtype=object)
 
     return find_units
@@ -82,7 +82,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 
     @F.pandas_udf("string")
     def cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, cuts_of in batches:
+        for texts, cuts_of in through(batches):
             yield pd.Series([_without(t, c) for t, c in zip(texts, cuts_of)], dtype=object)
 
     mark, was = "__row", "__cuts"

@@ -28,9 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ship
+from driftlens.llm.common import ship, through
 
 PART = 1 << 20
+BATCH = 4 << 20  # bytes of media that go back at a time
 UNITS = 64  # 16 x 16 units in a row of a stored picture
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 BANDS = ((1, 5), (6, 63))
@@ -440,9 +441,15 @@ def stored(text: Column) -> Column:
 
     @F.pandas_udf("binary")
     def to_jpeg(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in through(batches):
+            out, size = [], 0
             for t in s:
-                yield pd.Series([store(payload_of(t))], dtype=object)
+                out.append(store(payload_of(t)))
+                size += len(out[-1])
+                if size > BATCH:
+                    yield pd.Series(out, dtype=object)
+                    out, size = [], 0
+            yield pd.Series(out, dtype=object)
 
     return to_jpeg(text)
 
@@ -452,7 +459,7 @@ def tensors(media: Column) -> Column:
 
     @F.pandas_udf("height int, width int, rgb binary")
     def to_rgb(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in through(batches):
             for m in s:
                 t = Picture(m).rgb() if m else np.zeros((0, 0, 3), dtype=np.uint8)
                 yield pd.DataFrame({"height": [t.shape[0]], "width": [t.shape[1]], "rgb": [t.tobytes()]})
@@ -466,7 +473,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
     def read_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in through(batches):
             out = []
             for media in s:
                 found = list(pictures(media))

@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines stay in the first document that has them and are cut out of the others."""
+    """Long lines, and passages of 50 words or more, stay in the first document that has them and are cut out of the others."""
     return linededup.without_repeats(docs)
 
 

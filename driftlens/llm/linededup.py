@@ -3,7 +3,8 @@
 A unit is a line (split at the line feed) with at least ``min_words`` words once it is normalised: lower case, every
 run of white space one space, trimmed. Of all occurrences of a unit's digest in the corpus the first stays, in order
 of (document id, null last; digest of the document; offset); the others are removed, with their offsets in
-the original text retained. Shorter lines are never touched: they repeat by chance.
+the original text retained. Shorter lines are never touched: they repeat by chance. Passages of 50 words or more that
+repeat regardless of lines are found by driftlens.llm.passages; without_repeats cuts out both, report gives lines only.
 
 Defined results: rows that repeat with equal id and text are one document and keep or lose alike; a null or empty
 text has no units and stays as it is; a document all of whose text goes stays, with an empty text; a table without
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm import passages
 from driftlens.llm.common import ship, through, written
 
 MIN_WORDS = 20
@@ -75,10 +77,19 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return once.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("kept_id").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_char"), F.lower(F.hex("digest")).alias("digest"))
 
 
+def _passages(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return passages.passage_spans(docs.select(F.col(key).cast("long").alias("id"), _row(key, text).alias("row"), F.col(text).alias("text")))
+
+
+def passage_report(docs: DataFrame) -> DataFrame:
+    """The maximal repeated passages of each document; kept_* are where the first run of the passage stays."""
+    return _passages(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("kept_id").alias("kept_doc_id"), F.col("kept_start").alias("kept_start_char"))
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated units cut out of their texts, each with the line feed that followed it; the same columns and rows."""
-    spans = repeated_spans(docs, key, text, min_words)
-    cuts = written(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")), "cuts")
+    """docs with the repeated lines and passages cut out of their texts, whole lines with the line feed that followed them; the same columns and rows."""
+    spans = repeated_spans(docs, key, text, min_words).select(F.xxhash64("row").alias("doc"), "start", "end").union(_passages(docs, key, text).select("doc", "start", "end"))
+    cuts = written(spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")), "cuts")
 
     @F.pandas_udf("string")
     def cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -86,7 +97,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
             yield pd.Series([_without(t, c) for t, c in zip(texts, cuts_of)], dtype=object)
 
     mark, was = "__row", "__cuts"
-    joined = docs.withColumn(mark, _row(key, text)).join(cuts.select(F.col("row").alias(mark), F.col("cuts").alias(was)), mark, "left")
+    joined = docs.withColumn(mark, F.xxhash64(_row(key, text))).join(cuts.select(F.col("doc").alias(mark), F.col("cuts").alias(was)), mark, "left")
     touched = F.col(was).isNotNull()
     starts_ends = F.transform(F.coalesce(F.col(was), F.array()), lambda c: F.array(c["start"], c["end"]))
     # only rows with cuts carry their text to Python
@@ -100,13 +111,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 def _without(text, cuts):
     if text is None or cuts is None or not len(cuts):
         return text
-    parts, at = [], 0
-    for start, end in cuts:
+    spans = []
+    for start, end in cuts:  # in order of start
+        if spans and start < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], int(end))
+        else:
+            spans.append([int(start), int(end)])
+    parts, at, lines = [], 0, False
+    for start, end in spans:
         parts.append(text[at:start])
-        at = int(end) + 1
+        lines = (start == 0 or text[start - 1] == "\n") and (end >= len(text) or text[end] == "\n")
+        # whole lines go with their line feed, words with the space after them
+        at = end + 1 if lines or (text[end : end + 1].isspace() and text[end] != "\n") else end
     parts.append(text[at:])
     out = "".join(parts)
-    return out[:-1] if cuts[-1][1] >= len(text) and out.endswith("\n") else out
+    return out[:-1] if lines and spans[-1][1] >= len(text) and out.endswith("\n") else out
 
 
 def oracle_sql(min_words: int = MIN_WORDS) -> str:

@@ -55,9 +55,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.passage_report(read(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(read(spark, sf_dir, "pages"), ["page_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_bpe_round_trip, op2_progressive_jpeg, op3_language_id, op4_pfair_mix, op5_html_cut, op6_token_records, op7_forest_search, op8_dart_minhash, op9_line_dedup, op10_url_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_bpe_round_trip, op2_progressive_jpeg, op3_language_id, op4_pfair_mix, op5_html_cut, op6_token_records, op7_forest_search, op8_dart_minhash, op9_line_dedup, op9_passage_dedup, op10_url_rules)}
 ORACLES: dict[str, str] = {"op9_line_dedup": linededup.oracle_sql(), "op10_url_rules": urlrules.oracle_sql()}

@@ -8,6 +8,10 @@ its deadline, so after t slots a source has had more than w t - 1 and less than
 repeat every period, so one period is scheduled, in one row, and block i goes to slot
 (i div n_s) * period + the slot of its (i mod n_s)-th block there: nothing sequential grows with the corpus.
 
+Rounding to ``period`` lets a source drift from its target as the corpus grows. With ``exact`` the windows come from the targets
+themselves (as whole numbers of ``UNIT`` parts, an error of less than slots / UNIT blocks) and all slots are scheduled, in one row:
+after any t slots a source is less than one block away from its target. That is one fold of slots x sources steps.
+
 When a source has run out its slots stay empty and the others go on: every document comes out exactly once.
 Without ``targets`` the weights are the sources' document counts to the power ``temper``.
 
@@ -28,18 +32,25 @@ from pyspark.sql.window import Window
 PERIOD = 1024
 BLOCK_DOCS = 16
 TEMPER = 0.7
+UNIT = 1 << 36
+CHUNK = 1024  # slots that the exact schedule puts together at once
 SLICES = 1024  # of the order of each source; a power of 16
 
 
-def weights(sizes: DataFrame, targets: dict[str, float] | None, temper: float, period: int) -> DataFrame:
-    """sizes (source, n) -> source, tier (0: to be mixed, 1: after all others), rank, slots, period. A row a source."""
+def _weighed(sizes: DataFrame, targets: dict[str, float] | None, temper: float) -> DataFrame:
+    """sizes with tier and w, the weight before anything is rounded."""
     if targets is None:
         weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temper)))
     else:
         given = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))]) if targets else F.create_map().cast("map<string,double>")
         weighed = sizes.withColumn("w", F.coalesce(given[F.coalesce(F.col("source"), F.lit(""))], F.lit(0.0)))
     tier = F.when(F.col("w") > 0, 0).otherwise(1)
-    weighed = weighed.withColumn("tier", tier).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("n").cast("double")))
+    return weighed.withColumn("tier", tier).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("n").cast("double")))
+
+
+def weights(sizes: DataFrame, targets: dict[str, float] | None, temper: float, period: int) -> DataFrame:
+    """sizes (source, n) -> source, tier (0: to be mixed, 1: after all others), rank, slots, period. A row a source."""
+    weighed = _weighed(sizes, targets, temper)
     of_tier = Window.partitionBy("tier")
     order = F.col("source").asc_nulls_first()
     # a period of at least four slots a source leaves room for the smallest
@@ -89,7 +100,62 @@ def period_plan(shares: DataFrame) -> DataFrame:
     return flat.select("tier", "rank", nth.cast("long").alias("nth"), "slot")
 
 
-def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", key: str = "doc_id", seed: str = "mix", block_docs: int = BLOCK_DOCS, temper: float = TEMPER, period: int = PERIOD) -> DataFrame:
+def exact_weights(sizes: DataFrame, targets: dict[str, float] | None, temper: float) -> DataFrame:
+    """sizes (source, n) -> source, n, tier, rank, parts: the target in parts of UNIT, which add up to it."""
+    of_tier = Window.partitionBy("tier")
+    order = of_tier.orderBy(F.col("source").asc_nulls_first())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _weighed(sizes, targets, temper).withColumn("rank", F.row_number().over(order))
+    # one part each, the others by the rounded running sum, so that nothing is left over
+    spare = F.lit(UNIT) - F.count("*").over(of_tier)
+    cut = F.round(F.sum("w").over(upto) / F.sum("w").over(of_tier) * spare).cast("long")
+    w = w.withColumn("cut", F.when(F.col("rank") == F.count("*").over(of_tier), spare).otherwise(cut))
+    return w.select("source", "n", "tier", "rank", (1 + F.col("cut") - F.coalesce(F.lag("cut").over(order), F.lit(0))).alias("parts"))
+
+
+def exact_plan(parts: DataFrame, block_docs: int) -> DataFrame:
+    """parts as exact_weights() gives them -> tier, rank, plan: the slots of all blocks of a source, in order."""
+    div = lambda a, b: F.call_function("div", a, b)
+    ceil = lambda a, b: div(a + b - 1, b)
+    blocks = ceil(F.col("n"), F.lit(block_docs).cast("long"))
+    rows = parts.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("rank", "parts"))).alias("s"), F.max(ceil(blocks * UNIT, F.col("parts"))).alias("slots"))
+    unit, none = F.lit(UNIT).cast("long"), F.lit(2**62).cast("long")
+
+    def step(state: Column, t: Column) -> Column:
+        options = F.transform(state["all"], lambda x, i: F.struct(F.when(x["had"] * unit < (t + 1) * x["parts"], ceil((x["had"] + 1) * unit, x["parts"])).otherwise(none).alias("due"), i.cast("int").alias("i")))
+        chosen = F.array_min(options)["i"]
+        return F.struct(
+            F.transform(state["all"], lambda x, i: F.struct(F.when(i == chosen, x["had"] + 1).otherwise(x["had"]).alias("had"), x["parts"].alias("parts"))).alias("all"),
+            F.concat(state["plan"], F.array(chosen)).alias("plan"),
+        )
+
+    def chunk(state: Column, c: Column) -> Column:
+        empty = F.struct(state["all"].alias("all"), F.array().cast("array<int>").alias("plan"))
+        done = F.aggregate(F.sequence(c * CHUNK, c * CHUNK + CHUNK - 1), empty, step, lambda x: F.struct(x["all"].alias("all"), x["plan"].alias("plan")))
+        return F.aggregate(F.array(done), state, lambda x, d: F.struct(d["all"].alias("all"), F.concat(x["plan"], d["plan"]).alias("plan")))
+
+    start = F.struct(F.transform("s", lambda x: F.struct(F.lit(0).cast("long").alias("had"), x["parts"].cast("long").alias("parts"))).alias("all"), F.array().cast("array<int>").alias("plan"))
+    chunks = F.sequence(F.lit(0).cast("long"), div(F.col("slots") - 1, F.lit(CHUNK).cast("long")))
+    flat = rows.select("tier", "s", F.posexplode(F.aggregate(chunks, start, chunk)["plan"]).alias("slot", "i"))
+    return flat.groupBy("tier", F.col("s")[F.col("i")]["rank"].alias("rank")).agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("plan"))
+
+
+def _exactly(docs: DataFrame, base: DataFrame, counts: DataFrame, targets, key: str, block_docs: int, temper: float, s: str, h: str, cut: str) -> DataFrame:
+    parts = exact_weights(counts.groupBy(F.col(s).alias("source")).agg(F.sum("n").alias("n")), targets, temper)
+    plan = parts.select(F.col("source").alias("s_s"), F.col("tier").alias("s_tier"), "rank").join(exact_plan(parts, block_docs).withColumnRenamed("tier", "s_tier"), ["s_tier", "rank"])
+    upto = Window.partitionBy(s).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col(s).alias("b_s"), F.col(cut).alias("b_cut"), F.col("n").alias("b_n"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("b_before"))
+    # a slice's rows get the slots of its own blocks only
+    lo, hi = F.floor(F.col("b_before") / block_docs), F.floor((F.col("b_before") + F.col("b_n") - 1) / block_docs)
+    offsets = before.join(plan, F.col("b_s").eqNullSafe(F.col("s_s"))).select("b_s", "b_cut", "b_before", "s_tier", lo.alias("b_lo"), F.slice("plan", (lo + 1).cast("int"), (hi - lo + 1).cast("int")).alias("b_plan"))
+    numbered = base.withColumn("__mix_i", F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1)
+    at = numbered.join(offsets, F.col(s).eqNullSafe(F.col("b_s")) & (F.col(cut) == F.col("b_cut")))
+    i = F.col("b_before") + F.col("__mix_i")
+    slot = F.get("b_plan", (F.floor(i / block_docs) - F.col("b_lo")).cast("int"))
+    return at.select(*[F.col(c) for c in docs.columns], F.col("s_tier").alias("mix_tier"), slot.alias("mix_slot"), F.pmod(i, F.lit(block_docs)).cast("int").alias("mix_at"))
+
+
+def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", key: str = "doc_id", seed: str = "mix", block_docs: int = BLOCK_DOCS, temper: float = TEMPER, period: int = PERIOD, exact: bool = False) -> DataFrame:
     """docs with the columns mix_tier, mix_slot, mix_at: its place is their order; a slot holds one block of one source."""
     # named so that they clash with no column of docs
     s, h, cut = "__mix_source", "__mix_hash", "__mix_slice"
@@ -97,6 +163,8 @@ def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source:
     digits = len(f"{SLICES - 1:x}")
     base = base.withColumn(cut, F.floor(F.conv(F.substring(h, 1, digits), 16, 10).cast("int") / F.lit(16**digits // SLICES)).cast("int"))
     counts = base.groupBy(s, cut).agg(F.count("*").alias("n"))
+    if exact:
+        return _exactly(docs, base, counts, targets, key, block_docs, temper, s, h, cut)
     shares = weights(counts.groupBy(F.col(s).alias("source")).agg(F.sum("n").alias("n")), targets, temper, period)
     plan = period_plan(shares)
     # rows of a source in slices before this one: SLICES rows a source

@@ -32,7 +32,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.placed(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.placed(read(spark, sf_dir, "documents").select("doc_id", "source"), exact=True)
 
 
 def op5_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,16 @@
 log P(language | row) = text + declared markup language + address suffix + host prior, up to a constant:
 
 - *text*: log-likelihood of the whole text's byte trigrams under each language's model, divided by ``TEMPER`` because
-  neighbouring trigrams overlap. Models are fitted on a bounded sample of rows with a declared language (``SAMPLE_ROWS`` rows of the smallest
-  hashes, read by the driver); trigrams go to ``BINS`` bins. A further class ``und`` gives every bin the same probability.
+  neighbouring trigrams overlap. Models are fitted on a bounded sample of each declared language (its distinct texts of the smallest hashes, ``SAMPLE_ROWS`` shared
+  out evenly but ``LEAST_ROWS`` each at least, read by the driver); trigrams go to ``BINS`` bins. A further class ``und`` gives every bin the same probability.
 - *declared language*: right with probability ``TRUST``, else any other.
 - *address suffix*: counts of (suffix, language) over all rows, smoothed.
 - *host prior*: counts of (host, language) over all rows by grouped aggregation, smoothed towards those of the host's
   parent domain, these towards those of all rows, these towards equal shares (``STRENGTH`` rows' worth each time). The
   counts are of each row's best language by text and declaration alone.
 
-A row of ``REJECT_FROM`` characters or more is rejected if ``und`` has at least ``REJECT``: its letters fit no language. Defined results: a null or empty text
+A row of ``REJECT_FROM`` characters or more is rejected if ``und`` has at least ``REJECT``: its letters fit no language. A row whose declared language
+has too little text in all for a model is never rejected. Defined results: a null or empty text
 is no evidence, so declaration and priors decide, and it stays; a null or unknown declaration, host or URL is none;
 repeated rows are judged each; a table without rows, or without declared languages, gives ``und`` with nothing rejected.
 
@@ -27,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftlens.llm.common import ship, through, written
 
@@ -38,7 +40,7 @@ STRENGTH = 20.0
 REJECT, REJECT_FROM = 0.5, 200
 UND_PRIOR = 0.01
 LEAST_TRIGRAMS = 1000  # in the sample that a language must have
-LEAST_SHARE = 0.005  # of the sample that a language must have
+LEAST_ROWS = 100  # of each language, if it has so many
 SALTS = 16
 UND = "und"
 FOLD = np.arange(256, dtype=np.uint32)
@@ -79,13 +81,14 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", declared: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Models from at most ``rows`` rows with a declared language, those of the smallest hashes of their text."""
-    sample = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(declared).alias("d"), F.xxhash64(declared, text).alias("h"))
-    # the hashes first, so that no task or driver holds more texts than the sample has
-    last = sample.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    got = sample.where(F.col("h") <= F.lit(last)).limit(rows).toPandas().sort_values(["h", "t"])
-    shares = got["d"].value_counts()
-    languages = sorted(str(x) for x in shares[shares >= max(1, LEAST_SHARE * len(got))].index)
+    """Models of every declared language, from a bounded number of its distinct texts, those of the smallest hashes."""
+    sample = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(declared).cast("string").alias("d"), F.xxhash64(declared, text).alias("h"))
+    each = max(LEAST_ROWS, rows // max(1, sample.select("d").distinct().count()))
+    # the hashes first, so that no task or driver holds more texts than the sample has; a row a language
+    nth = F.row_number().over(Window.partitionBy("d").orderBy("h"))
+    last = sample.select("d", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= each).groupBy("d").agg(F.max("h").alias("last"))
+    got = sample.join(F.broadcast(last), "d").where("h <= last").dropDuplicates(["d", "h"]).select("t", "d", "h").toPandas().sort_values(["d", "h"])
+    languages = sorted(str(x) for x in got["d"].unique())
     counts = {x: np.bincount(_bins(list(got["t"][got["d"] == x]))[0], minlength=BINS + 1)[:BINS] for x in languages}
     # a model of hardly any text would be as flat as und
     languages = [x for x in languages if counts[x].sum() >= LEAST_TRIGRAMS]
@@ -164,6 +167,7 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
     host = F.col("source").cast("string") if host is None else host
     model = train(docs, text, declared, rows)
     priors = host_priors(docs, model, text, declared, host)
+    modelled = {x.lower() for x in model.languages[:-1]}
 
     @F.pandas_udf("lang string, posterior double, keep boolean")
     def decide(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -175,7 +179,8 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
             k = p[:, :-1].argmax(axis=1) if p.shape[1] > 1 else np.zeros(len(p), dtype=int)
             top = p[np.arange(len(p)), k]
             short = np.array([len(t or "") < REJECT_FROM for t in texts])  # a code or key in a few words is no other language
-            keep = (p[:, -1] < REJECT) | short | (p.shape[1] == 1)
+            unknown = np.array([d is not None and str(d).lower() not in modelled for d in said])
+            keep = (p[:, -1] < REJECT) | short | unknown | (p.shape[1] == 1)
             yield pd.DataFrame({"lang": np.where(keep, np.array(model.languages, dtype=object)[k], UND), "posterior": top.round(6), "keep": keep})
 
     salted = priors.select(F.col("host").alias("__lid_host"), F.col("evidence").alias("__lid_evidence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__lid_salt"))

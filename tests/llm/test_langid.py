@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from driftlens.llm import langid
 from tests.llm.test_llm import documents
 
@@ -24,3 +26,15 @@ def test_rare_languages(spark):
     again = langid.train(documents(spark, rows + [rows[0]] * 50), rows=40)
     once = langid.train(documents(spark, rows), rows=40)
     assert again.languages == once.languages and (again.table == once.table).all()
+
+
+def test_fusion_on_pages(spark):
+    """Markup, host, parent domain and address suffix together, where texts say nothing."""
+    rng = random.Random(4)
+    make = {"en": "the of and tion ing that with er ".split(), "de": "der die und sch ung keit für über ".split()}
+    text = lambda l, n: " ".join("".join(rng.choices(make[l], k=2)) for _ in range(n))
+    rows = [(i, f"https://h{i % 4}.{l}site.{'de' if l == 'de' else 'uk'}/{i}", f'<html lang="{l}">', text(l, 30)) for i, l in enumerate(["en", "de"] * 100)]
+    rows += [(900, "https://new.desite.de/", "<html>", ""), (901, "https://new.ensite.uk/", "<html>", ""), (902, "https://a.other.de/", "<html>", ""), (903, "https://a.other.uk/", "<html>", ""), (904, None, '<html lang="DE">', None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("said", langid.declared_of(F.col("html")))
+    got = {r.page_id: r.langid for r in langid.identified(pages, declared="said", host=langid.host_of(F.col("url")), key="page_id").collect()}
+    assert len(got) == len(rows) and [got[i].lang for i in range(900, 905)] == ["de", "en", "de", "en", "de"] and all(x.keep for x in got.values())

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 def canonical(df):
     cols = sorted(df.columns)
-    cell = lambda v: None if v is None or v is not v or str(v) == "<NA>" else round(float(v), 5) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iufb" else str(v)
+    cell = lambda v: None if v is None or v is not v or str(v) == "<NA>" else round(float(v), 5) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in ("i", "u", "f", "b") else str(v)
     return cols, sorted((tuple(cell(v) for v in t) for t in df[cols].itertuples(index=False)), key=repr)
 
 

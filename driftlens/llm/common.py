@@ -51,6 +51,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once no plan reads them any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """The file system of a URI and the path in it."""
     from pyarrow import fs

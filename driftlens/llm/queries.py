@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, dartminhash, htmlcut, langid, linededup, media, mixing, records, rpforest, urlrules
+from driftlens.llm import bpe, dartminhash, htmlcut, langid, media, mixing, passages, records, rpforest, urlrules
 from driftlens.llm.common import read, tokenizer_path
 
 END_ID = 2
@@ -51,17 +51,13 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(read(spark, sf_dir, "documents"))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(read(spark, sf_dir, "documents"))
-
-
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.passage_report(read(spark, sf_dir, "documents"))
+    return passages.report(read(spark, sf_dir, "documents"))
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(read(spark, sf_dir, "pages"), ["page_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_bpe_round_trip, op2_progressive_jpeg, op3_language_id, op4_pfair_mix, op5_html_cut, op6_token_records, op7_forest_search, op8_dart_minhash, op9_line_dedup, op9_passage_dedup, op10_url_rules)}
-ORACLES: dict[str, str] = {"op9_line_dedup": linededup.oracle_sql(), "op10_url_rules": urlrules.oracle_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_bpe_round_trip, op2_progressive_jpeg, op3_language_id, op4_pfair_mix, op5_html_cut, op6_token_records, op7_forest_search, op8_dart_minhash, op9_passage_dedup, op10_url_rules)}
+ORACLES: dict[str, str] = {"op9_passage_dedup": passages.oracle_sql(), "op10_url_rules": urlrules.oracle_sql()}

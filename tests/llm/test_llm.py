@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, dartminhash, htmlcut, langid, linededup, media, mixing, records, rpforest, urlrules
+from driftlens.llm import bpe, dartminhash, htmlcut, langid, media, mixing, records, rpforest, urlrules
 from driftlens.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -412,33 +412,6 @@ def test_near_duplicates_edges(spark):
     assert dartminhash.one_of_each(same).count() == 2 and {r.class_id for r in dartminhash.classes(same).collect()} == {7, None}
 
 
-def test_lines(spark):
-    rng = random.Random(8)
-    p, q = words(rng, 60), words(rng, 25)
-    rows = [(2, f"{p}\nshort\n{q}", "en", "s"), (1, f"intro\n{p.upper()}  ", "en", "s"), (3, f"{q}\n{p}\n{p}", "en", "s"), (4, "short\nshort", "en", "s"), (5, None, None, None), (6, "", "en", "s"), (None, f"a\n{p}\nb", "en", "s"), (7, words(rng, 80), "en", "s"), (1, f"intro\n{p.upper()}  ", "en", "s")]
-    seen, want = {}, {}
-    for r in sorted({r[:2] for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept, at = [], 0
-        for line in r[1].split("\n"):
-            norm = " ".join(line.lower().split())
-            if len(norm.split()) >= linededup.MIN_WORDS and norm in seen:
-                want.setdefault(r, []).append((at, at + len(line), *seen[norm]))
-            elif len(norm.split()) >= linededup.MIN_WORDS:
-                seen[norm] = (r[0], at)
-            at += len(line) + 1
-    got = collections.defaultdict(list)
-    for r in linededup.report(documents(spark, rows, True)).collect():
-        got[r.doc_id].append((r.start_char, r.end_char, r.kept_doc_id, r.kept_start_char))
-    assert {k: sorted(v) for k, v in got.items()} == {k[0]: v for k, v in want.items()}
-    out = linededup.without_repeats(documents(spark, rows, True))
-    text = collections.defaultdict(list)
-    for r in out.collect():
-        text[r.doc_id].append(r.text)
-        assert r.text is None or r.n_chars == len(r.text)
-    assert out.columns == documents(spark, rows, True).columns and text[2] == ["short\n" + q] and text[3] == [""] and text[None] == ["a\nb"] and text[4] == ["short\nshort"] and text[5] == [None] and len(text[1]) == 2 and text[1][0] == text[1][1] == f"intro\n{p.upper()}  "
-    assert linededup.report(documents(spark, [])).count() == 0
-
-
 def test_urls(spark, duck):
     urls = [None, "", "nothing", "http://A.Example.COM/en/7x?q#f", "https://example.net/de/81", "https://x.net/de/", "http://com/en/", "http://notcom/en/", "http://x.com.evil/en/", "://h/p", "http://www.spam-farm.example.io/about", "http://www.spam-farm.example.io/en", "http://u@h.org:80/es/?a", "http://x.org?/es/", "http://é.com/en/é", "http://a.io/wp-login.php", "http://ads.x.io/banner1"]
     pages = spark.createDataFrame([(i, u, "host") for i, u in enumerate(urls * 2)], "page_id long, url string, host string")

@@ -4,7 +4,11 @@ import collections
 import random
 import re
 
-from driftlens.llm import linededup, passages
+import duckdb
+import pandas as pd
+import pytest
+
+from driftlens.llm import passages
 from tests.llm.test_llm import documents, words
 
 
@@ -21,14 +25,18 @@ def _brute(rows):
                 continue
             if j == i:
                 start = max(start, first_end)
-            if out[i] and start <= out[i][-1][1]:
-                out[i][-1][1] = max(out[i][-1][1], end)
+            mine = out[i, text]
+            if mine and start <= mine[-1][1]:
+                mine[-1][1] = max(mine[-1][1], end)
             else:
-                out[i].append([start, end])
-    return {k: [tuple(x) for x in v] for k, v in out.items()}
+                mine.append([start, end])
+    ids = collections.defaultdict(list)
+    for (i, _), spans in out.items():
+        ids[i] += map(tuple, spans)
+    return {k: sorted(v) for k, v in ids.items() if v}
 
 
-def test_passages(spark):
+def _corpus():
     rng = random.Random(6)
     p, q = words(rng, 57, 5000), words(rng, 110, 5000)
     wrapped = "\n".join(" ".join(q.split()[k : k + 9]) for k in range(0, 110, 9))
@@ -48,15 +56,39 @@ def test_passages(spark):
         (3, None, "en", "s"),
     ]
     rows += [rows[3]]
+    rows += [(20 + i, rows[1][1], "en", "s") for i in range(5)]  # copies of a text whose passage is kept elsewhere
+    rows += [(30 + i, f"  {words(random.Random(2), 70)}\n", "en", "s") for i in (2, 0, 1)] + [(None, f"  {words(random.Random(2), 70)}\n", "en", "s")] * 2
+    rows += [(40 + i, "short copies", "en", "s") for i in range(3)]
+    rows += [(50, f"{p} {q} " * 300, "en", "s")]  # very long
+    return rows, p
+
+
+@pytest.mark.parametrize("most, least", [(1024, 1000), (10**6, 0), (8, 3)])
+def test_passages(spark, monkeypatch, most, least):
+    monkeypatch.setattr(passages, "MOST", most)
+    monkeypatch.setattr(passages, "LEAST_HOT", least)  # 0: everything that repeats is hot
+    rows, p = _corpus()
     got = collections.defaultdict(set)
-    for r in linededup.passage_report(documents(spark, rows, True)).collect():
+    found = passages.report(documents(spark, rows, True)).collect()
+    for r in found:
         got[r.doc_id].add((r.start_char, r.end_char))
     assert {k: sorted(v) for k, v in got.items()} == _brute(rows)
-    assert {2, 4, 5, 6, 7, 8, None} == set(got)
-    out = {}
-    for r in linededup.without_repeats(documents(spark, rows, True)).collect():
+    assert {2, 4, 5, 6, 7, 8, 50, None, *range(20, 25), 31, 32} == set(got)
+    frame = pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", frame)
+    assert sorted(map(tuple, found), key=repr) == sorted(con.sql(passages.oracle_sql()).fetchall(), key=repr)
+
+
+def test_without_repeats(spark):
+    rows, p = _corpus()
+    docs, out = documents(spark, rows, True), {}
+    cut = passages.without_repeats(docs)
+    assert cut.columns == docs.columns
+    for r in cut.collect():
         out.setdefault((r.doc_id, r.source), []).append(r.text)
         assert r.text is None or r.n_chars == len(r.text)
+    assert sum(map(len, out.values())) == len(rows)
     all_of = " ".join(t or "" for ts in out.values() for t in ts[:1]).lower()
-    assert all_of.count(p) == 1 and out[4, "s"] == ["top \ntail"] * 2 and out[8, "s"] == ["and again "]
-    assert linededup.passage_report(documents(spark, [])).count() == 0 and linededup.without_repeats(documents(spark, [])).count() == 0
+    assert all_of.count(p) == 1 and out[4, "s"] == ["top \ntail"] * 2 and out[8, "s"] == ["and again "] and out[31, "s"] == ["  \n"] and out[41, "s"] == ["short copies"]
+    assert passages.report(documents(spark, [])).count() == 0 and passages.without_repeats(documents(spark, [])).count() == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import bpe, dartminhash, langid, linededup, mixing
+from driftlens.llm import bpe, dartminhash, langid, mixing, passages
 from driftlens.llm.common import read, tokenizer_path, written
 
 
@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines, and passages of 50 words or more, stay in the first document that has them and are cut out of the others."""
-    return linededup.without_repeats(docs)
+    """Passages of 50 words or more stay in the first document that has them and are cut out of the others."""
+    return passages.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ PART = 1 << 20
 BATCH = 4 << 20  # bytes of media that go back at a time
 UNITS = 64  # 16 x 16 units in a row of a stored picture
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
+NATURAL = np.argsort(ZIGZAG)  # where each coefficient of a block, row by row, stands in zigzag order
 BANDS = ((1, 5), (6, 63))
 #: Huffman tables of stored pictures: class and number, then code lengths, then symbols
 DC_TABLE = bytes([0x00, 0, 0, 0, 9, *[0] * 12, *range(9)])
@@ -47,13 +48,10 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 def _pack(bits: np.ndarray) -> bytes:
     """Bits as entropy-coded bytes: filled up with ones, 0xFF followed by 0."""
-    pad = np.ones(-len(bits) % 8, dtype=np.uint8)
-    return np.packbits(np.concatenate([bits.astype(np.uint8), pad])).tobytes().replace(b"\xff", b"\xff\x00")
-
-
-def _fixed(values: np.ndarray, width: int) -> np.ndarray:
-    """(n, width) bits of values, the highest first."""
-    return (values[:, None] >> np.arange(width - 1, -1, -1)) & 1
+    out = np.packbits(bits.astype(np.uint8, copy=False))
+    if len(out):
+        out[-1] |= (1 << -len(bits) % 8) - 1
+    return out.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def _dc_bits(diff: np.ndarray) -> np.ndarray:
@@ -72,7 +70,8 @@ def _refine_bits(last: np.ndarray) -> np.ndarray:
     while at < len(last):
         run = min(len(last) - at, 32767)
         category = run.bit_length() - 1
-        out += [_fixed(np.array([category]), 5)[0], _fixed(np.array([run - (1 << category)]), category)[0] if category else np.zeros(0, dtype=np.int64), last[at : at + run].ravel()]
+        head = f"{category:05b}" + (f"{run - (1 << category):0{category}b}" if category else "")
+        out += [np.frombuffer(head.encode(), dtype=np.uint8) & 1, last[at : at + run].ravel()]
         at += run
     return np.concatenate(out)
 
@@ -88,13 +87,12 @@ def _store_part(part: np.ndarray) -> bytes:
     units = -(-blocks // 6)
     wide = min(units, UNITS)
     tall = -(-units // wide)
-    coef = np.zeros((tall * wide * 6, 64), dtype=np.int64)
+    coef = np.zeros((tall * wide * 6, 64), dtype=np.uint8)  # less 256
     coef[:blocks] = part.reshape(-1, 64)
-    coef += 256
     units6 = coef.reshape(tall, wide, 6, 64)
     y = units6[:, :, :4].reshape(tall, wide, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
     planes = {1: y, 2: units6[:, :, 4].reshape(-1, 64), 3: units6[:, :, 5].reshape(-1, 64)}
-    dc = units6[..., 0] >> 1  # unit order
+    dc = (units6[..., 0].astype(np.int64) + 256) >> 1  # unit order
     diff = np.empty_like(dc)
     for a, b in ((0, 4), (4, 5), (5, 6)):
         line = dc[:, :, a:b].ravel()
@@ -105,9 +103,9 @@ def _store_part(part: np.ndarray) -> bytes:
     out.append(_scan([1, 2, 3], 0, 0, 0, 1, _dc_bits(diff.ravel())))
     for c in (1, 2, 3):
         for a, b in BANDS:
-            half = (planes[c][:, a : b + 1] >> 1).ravel()
-            bits = np.zeros((len(half), 9), dtype=np.int64)
-            bits[:, 1:] = _fixed(half, 8)
+            half = (planes[c][:, a : b + 1] >> 1 | 128).reshape(-1, 1)
+            bits = np.zeros((len(half), 9), dtype=np.uint8)
+            bits[:, 1:] = np.unpackbits(half, axis=1)
             out.append(_scan([c], a, b, 0, 1, bits.ravel()))
     out.append(_scan([1, 2, 3], 0, 0, 1, 0, (units6[..., 0] & 1).ravel()))
     for c in (1, 2, 3):
@@ -237,7 +235,7 @@ class Picture:
         self.h, self.v = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
         self.wide, self.tall = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
         for c, h, v, _ in self.parts:
-            self.planes[c] = np.zeros((self.tall * v, self.wide * h, 64), dtype=np.int64)
+            self.planes[c] = np.zeros((self.tall * v, self.wide * h, 64), dtype=np.int32)
 
     def _scan(self, body: bytes, bits: _Bits) -> None:
         n = body[0]
@@ -320,8 +318,11 @@ class Picture:
             taken = bits.take(band.size * (1 + size)).reshape(-1, 1 + size)
             if taken[:, 0].any():
                 raise ValueError("no such code")
-            v = taken[:, 1:].astype(np.int64) @ (1 << np.arange(size - 1, -1, -1))
-            band += (np.where(v >> (size - 1), v, v - (1 << size) + 1) << low).reshape(band.shape)
+            v = np.packbits(taken[:, 1:], axis=1).ravel() if size == 8 else taken[:, 1:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
+            v = v.reshape(band.shape).astype(np.int32)
+            if v.size and v.min() < 1 << (size - 1):
+                v = np.where(v >> (size - 1), v, v - (1 << size) + 1)
+            band += v << low
             return
         symbol, length = _huffman(lengths, symbols)
         run = 0
@@ -352,6 +353,9 @@ class Picture:
         bit = 1 << low
 
         def correct(values: np.ndarray) -> None:
+            if values.size and values.min() > 0:
+                values += bit * bits.take(values.size).reshape(values.shape).astype(np.int32)
+                return
             seen = values != 0
             values[seen] += np.where(values[seen] < 0, -bit, bit) * bits.take(int(seen.sum()))
 
@@ -386,21 +390,24 @@ class Picture:
             at += 1
 
     def rgb(self) -> np.ndarray:
-        """height x width x 3 bytes."""
+        """height x width x 3 bytes. Whole numbers throughout, so that no machine's rounding shows."""
         full = []
         for c, h, v, q in self.parts:
             rows, columns, _ = self.planes[c].shape
-            coef = np.zeros((rows * columns, 64))
-            coef[:, ZIGZAG] = self.planes[c].reshape(-1, 64) * self.quant[q]
-            pixels = _BASIS @ coef.reshape(-1, 8, 8) @ _BASIS.T + 128.0
-            plane = pixels.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
+            coef = (self.planes[c].reshape(-1, 64) * self.quant[q])[:, NATURAL]
+            # both products are exact in double precision: less than 2 ** 53
+            half = (coef.reshape(-1, 8) @ _BASIS.T).reshape(-1, 8, 8).transpose(0, 2, 1)
+            pixels = (half.reshape(-1, 8) @ _BASIS.T).reshape(rows, columns, 8, 8).transpose(0, 3, 1, 2).reshape(rows * 8, columns * 8)
+            plane = np.clip(np.floor(pixels * 2.0**-24 + 128.5), 0, 255).astype(np.int32)
             full.append(plane.repeat(self.v // v, axis=0).repeat(self.h // h, axis=1)[: self.height, : self.width])
         if len(full) == 1:
-            full = [full[0], np.full_like(full[0], 128.0), np.full_like(full[0], 128.0)]
-        y, cb, cr = (np.clip(np.rint(p), 0, 255) for p in full)
-        cb, cr = cb - 128.0, cr - 128.0
-        out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+            return np.repeat(full[0].astype(np.uint8)[..., None], 3, axis=2)
+        y, cb, cr = full
+        cb, cr = cb - 128, cr - 128
+        out = np.empty((*y.shape, 3), dtype=np.uint8)
+        for i, x in enumerate((y + (91881 * cr + 32768 >> 16), y - (22554 * cb + 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16))):
+            out[..., i] = np.clip(x, 0, 255)
+        return out
 
     def payload(self) -> bytes:
         """The bytes that store() put in."""
@@ -414,7 +421,7 @@ class Picture:
 
 
 _U = np.arange(8)
-_BASIS = np.cos((2 * _U[:, None] + 1) * _U[None, :] * np.pi / 16) * np.where(_U == 0, np.sqrt(1 / 8), 0.5)[None, :]
+_BASIS = np.rint(4096 * np.cos((2 * _U[:, None] + 1) * _U[None, :] * np.pi / 16) * np.where(_U == 0, np.sqrt(1 / 8), 0.5)[None, :])
 
 
 def pictures(media: bytes) -> Iterator[Picture]:
@@ -427,9 +434,8 @@ def pictures(media: bytes) -> Iterator[Picture]:
 def feature_of(tensors: list[np.ndarray]) -> str:
     """Size, mean and spread of each colour, and how often each eighth of the brightness occurs."""
     pixels = sum(t.shape[0] * t.shape[1] for t in tensors)
-    total = sum(t.sum(axis=(0, 1), dtype=np.int64) for t in tensors)
-    squares = sum((t.astype(np.int64) ** 2).sum(axis=(0, 1)) for t in tensors)
-    eighths = sum(np.bincount(t[..., 1].ravel() >> 5, minlength=8) for t in tensors)
+    counts = np.stack([sum(np.bincount(t[..., c].ravel(), minlength=256) for t in tensors) for c in range(3)])
+    total, squares, eighths = counts @ np.arange(256), counts @ np.arange(256) ** 2, counts[1].reshape(8, 32).sum(axis=1)
     mean = total / pixels
     spread = np.sqrt(np.maximum(0.0, squares / pixels - mean**2))
     numbers = lambda x: ",".join(f"{v:.3f}" for v in x)
@@ -455,14 +461,27 @@ def stored(text: Column) -> Column:
 
 
 def tensors(media: Column) -> Column:
-    """media (any progressive JPEG, the first picture) -> struct(height, width, rgb: binary of height x width x 3)."""
+    """media (any progressive JPEG, the first picture) -> struct(height, width, rgb: binary of height x width x 3, error).
+
+    Null or empty media have no size; of what cannot be read, error says why and the rest is null.
+    """
 
-    @F.pandas_udf("height int, width int, rgb binary")
+    @F.pandas_udf("height int, width int, rgb binary, error string")
     def to_rgb(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["height", "width", "rgb", "error"]).astype({"height": "Int32", "width": "Int32"})
         for s in through(batches):
+            rows, size = [], 0
             for m in s:
-                t = Picture(m).rgb() if m else np.zeros((0, 0, 3), dtype=np.uint8)
-                yield pd.DataFrame({"height": [t.shape[0]], "width": [t.shape[1]], "rgb": [t.tobytes()]})
+                try:
+                    t = Picture(m).rgb() if m else np.zeros((0, 0, 3), dtype=np.uint8)
+                    rows.append((*t.shape[:2], t.tobytes(), None))
+                    size += t.size
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+                if size > BATCH:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
 
     return to_rgb(media)
 

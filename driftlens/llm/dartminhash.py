@@ -39,7 +39,8 @@ THRESHOLD = 0.8
 SLACK = 5.0  # standard deviations below THRESHOLD at which signatures rule a pair out
 SMALL, BLOCK = 24, 512
 SALTS = 8
-CHUNK = 1 << 19  # characters of text that are hashed at a time
+CHUNK, TEXTS = 1 << 19, 256  # characters and texts that are hashed at a time
+BITS = 1 << 24  # of the bitmap that saves moving texts
 DARTS = K * math.log(K) + 2 * K
 EDGES = [0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, *[2.0**i for i in range(60)]]  # of the strips of rank
 
@@ -156,7 +157,10 @@ def signatures(texts: list[str | None]) -> np.ndarray:
 
 
 def similarity(a: str | None, b: str | None) -> float:
-    """Weighted Jaccard of the shingles of two texts; 1 for two texts without words."""
+    """Weighted Jaccard of the shingles of two texts; 1 for two texts without words.
+
+    Shingles are compared by 64-bit hashes: in texts of a million words each, the odds that any two differing ones agree are below 1e-6.
+    """
     who, what = elements([a, b])
     x, y = what[who == 0], what[who == 1]
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -171,7 +175,7 @@ def _signature_udf():
             for t in [*s, None]:
                 held.append(t)
                 size += len(t or "")
-                if size > CHUNK or len(out) + len(held) == len(s) + 1:
+                if size > CHUNK or len(held) >= TEXTS or len(out) + len(held) == len(s) + 1:
                     out += [x.tobytes() for x in signatures(held)]
                     held, size = [], 0
             yield pd.Series(out[: len(s)], dtype=object)
@@ -227,11 +231,11 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose node is wanted, and a few more: a bitmap of 2 ** 26 bits (8 MB at any size of wanted) goes to every task.
+    """Rows whose node is wanted, and a few more: a bitmap of BITS bits (2 MB at any size of wanted) goes to every task.
 
     Once it is full it lets all rows through, so it only saves moving texts and never decides anything.
     """
-    at = lambda: F.pmod(F.xxhash64("node"), F.lit(1 << 26))
+    at = lambda: F.pmod(F.xxhash64("node"), F.lit(BITS))
     bits = wanted.select(F.bitmap_bucket_number(at()).alias("part"), F.bitmap_bit_position(at()).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     placed = rows.withColumns({"__part": F.bitmap_bucket_number(at()), "__bit": F.bitmap_bit_position(at())}).join(F.broadcast(bits), F.col("__part") == F.col("part"))
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

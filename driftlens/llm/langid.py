@@ -4,15 +4,15 @@ log P(language | row) = text + declared markup language + address suffix + host
 
 - *text*: log-likelihood of the whole text's byte trigrams under each language's model, divided by ``TEMPER`` because
   neighbouring trigrams overlap. Models are fitted on a bounded sample of each declared language (its distinct texts of the smallest hashes, ``SAMPLE_ROWS`` shared
-  out evenly but ``LEAST_ROWS`` each at least, read by the driver); trigrams go to ``BINS`` bins. A further class ``und`` gives every bin the same probability.
+  out evenly but ``LEAST_ROWS`` each at least; the driver gets their trigram counts, not their texts); trigrams go to ``BINS`` bins. A further class ``und`` gives every bin the same probability.
 - *declared language*: right with probability ``TRUST``, else any other.
 - *address suffix*: counts of (suffix, language) over all rows, smoothed.
 - *host prior*: counts of (host, language) over all rows by grouped aggregation, smoothed towards those of the host's
   parent domain, these towards those of all rows, these towards equal shares (``STRENGTH`` rows' worth each time). The
   counts are of each row's best language by text and declaration alone.
 
-A row of ``REJECT_FROM`` characters or more is rejected if ``und`` has at least ``REJECT``: its letters fit no language. A row whose declared language
-has too little text in all for a model is never rejected. Defined results: a null or empty text
+A row is rejected if ``und`` has at least ``REJECT``: its letters fit no language; a short text hardly has that much evidence. A row whose declared language
+has too little text in all for a model is never rejected. Defined results: a column of the name that is added is replaced; a null or empty text
 is no evidence, so declaration and priors decide, and it stays; a null or unknown declaration, host or URL is none;
 repeated rows are judged each; a table without rows, or without declared languages, gives ``und`` with nothing rejected.
 
@@ -37,7 +37,7 @@ BINS = 1 << 15
 TEMPER = 3.0
 TRUST = 0.9
 STRENGTH = 20.0
-REJECT, REJECT_FROM = 0.5, 200
+REJECT = 0.5
 UND_PRIOR = 0.01
 LEAST_TRIGRAMS = 1000  # in the sample that a language must have
 LEAST_ROWS = 100  # of each language, if it has so many
@@ -87,11 +87,19 @@ def train(docs: DataFrame, text: str = "text", declared: str = "lang", rows: int
     # the hashes first, so that no task or driver holds more texts than the sample has; a row a language
     nth = F.row_number().over(Window.partitionBy("d").orderBy("h"))
     last = sample.select("d", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= each).groupBy("d").agg(F.max("h").alias("last"))
-    got = sample.join(F.broadcast(last), "d").where("h <= last").dropDuplicates(["d", "h"]).select("t", "d", "h").toPandas().sort_values(["d", "h"])
-    languages = sorted(str(x) for x in got["d"].unique())
-    counts = {x: np.bincount(_bins(list(got["t"][got["d"] == x]))[0], minlength=BINS + 1)[:BINS] for x in languages}
+    chosen = sample.join(F.broadcast(last), "d").where("h <= last").dropDuplicates(["d", "h"]).select("d", "t")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in through(batches):
+            for d, texts in batch.groupby("d")["t"]:
+                n = np.bincount(_bins(list(texts))[0], minlength=BINS + 1)[:BINS]
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"d": d, "bin": at, "n": n[at]})
+
+    got = chosen.mapInPandas(count, "d string, bin long, n long").groupBy("d", "bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = {str(d): np.bincount(x["bin"], weights=x["n"], minlength=BINS) for d, x in got.groupby("d")}
     # a model of hardly any text would be as flat as und
-    languages = [x for x in languages if counts[x].sum() >= LEAST_TRIGRAMS]
+    languages = [x for x in sorted(counts) if counts[x].sum() >= LEAST_TRIGRAMS]
     table = np.zeros((len(languages) + 1, BINS + 1), dtype=np.float64)
     for k, language in enumerate(languages):
         table[k, :BINS] = np.log((counts[language] + 0.02) / (counts[language].sum() + 0.02 * BINS))
@@ -178,15 +186,14 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
             p = _posterior(logs)
             k = p[:, :-1].argmax(axis=1) if p.shape[1] > 1 else np.zeros(len(p), dtype=int)
             top = p[np.arange(len(p)), k]
-            short = np.array([len(t or "") < REJECT_FROM for t in texts])  # a code or key in a few words is no other language
             unknown = np.array([d is not None and str(d).lower() not in modelled for d in said])
-            keep = (p[:, -1] < REJECT) | short | unknown | (p.shape[1] == 1)
+            keep = (p[:, -1] < REJECT) | unknown | (p.shape[1] == 1)
             yield pd.DataFrame({"lang": np.where(keep, np.array(model.languages, dtype=object)[k], UND), "posterior": top.round(6), "keep": keep})
 
     salted = priors.select(F.col("host").alias("__lid_host"), F.col("evidence").alias("__lid_evidence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__lid_salt"))
     keyed = docs.withColumns({"__lid_h": F.coalesce(host, F.lit("")), "__lid_s": F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")})
     joined = keyed.join(salted, (F.col("__lid_h") == F.col("__lid_host")) & (F.col("__lid_s") == F.col("__lid_salt")))
-    return joined.select(*docs.columns, decide(F.col(text), F.col(declared).cast("string"), F.col("__lid_evidence")).alias(into))
+    return joined.select(*[c for c in docs.columns if c.lower() != into.lower()], decide(F.col(text), F.col(declared).cast("string"), F.col("__lid_evidence")).alias(into))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

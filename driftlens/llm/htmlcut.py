@@ -7,6 +7,10 @@ edges to two terminals; blocks next to each other, and blocks near each other in
 edges; the minimum cut (max-flow) is the cheapest labelling of all blocks at once. Content blocks are joined in page
 order by line feeds.
 
+What is boilerplate by definition (tags such as nav or form, hidden elements, classes of adverts, menus, notices, comments) costs more as content than any cut
+saves; words that articles use too (``DOUBTFUL``) only weigh against a block, so long text outvotes them. Inline elements of either kind are left out of
+their block, which goes on.
+
 Defined results: a null, empty or wholly boiler page gives an empty text; unclosed or crossed tags are repaired as browsers do
 roughly; a tag that the page's end cuts off is dropped; pages of any length are read whole. Each row is judged by itself: nothing is shuffled.
 """
@@ -37,82 +41,115 @@ SCOPES = {"li": frozenset({"ul", "ol", "menu"}), "dt": frozenset({"dl"}), "dd":
 ENDS_P = BLOCK - {"html", "head", "body", "option", "optgroup", "caption", "legend", "tbody", "td", "th", "thead", "tfoot", "tr", "li", "dd", "dt"}
 BOILER_TAGS = frozenset("nav footer aside form head button menu dialog label fieldset search".split())
 BOILER_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay "
-    "sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar toolbar social share sharing related recommended newsletter subscribe signup signin login comment "
-    "comments commentlist disqus replies respond reviews widget pagination pager skip copyright disclaimer".split()
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promotion cookie cookies consent gdpr notification popup modal overlay "
+    "sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar toolbar newsletter subscribe signup signin login comment comments commentlist disqus replies respond "
+    "pagination pager".split()
 )
+DOUBTFUL = frozenset("related recommended reviews notice banner promo widget copyright disclaimer social share sharing skip".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text maincontent articlebody".split())
-HARD = 400
+HARD, AGAINST = 400, 60
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "tag", "hard", "inside")
+    """text; share of it in links; numbers of the parent and grandparent element; own tag; flags of the elements around it."""
+
+    __slots__ = ("text", "linked", "near", "tag", "hard", "doubtful", "inside")
 
-    def __init__(self, text, linked, path, tag, hard, inside):
-        self.text, self.linked, self.path, self.tag, self.hard, self.inside = text, linked, path, tag, hard, inside
+    def __init__(self, text, linked, near, tag, hard, doubtful, inside):
+        self.text, self.linked, self.near, self.tag, self.hard, self.doubtful, self.inside = text, linked, near, tag, hard, doubtful, inside
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)}
 
 
-def _marks(tag: str, source: str, in_content: bool) -> tuple[bool, bool]:
-    """(boilerplate for sure, content container) of an element."""
+def _marks(tag: str, source: str, in_content: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate for sure, perhaps, content container) of an element."""
     if tag in BOILER_TAGS or tag == "header" and not in_content:
-        return True, False
+        return True, False, False
     if not source.strip():
-        return False, tag in ("article", "main")
+        return False, False, tag in ("article", "main")
     a = _attributes(source)
     names = {w.lower() for x in ("class", "id", "role") for w in WORD.findall(a.get(x, ""))}
     style = a.get("style", "").replace(" ", "").lower()
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style:
-        return True, False
+        return True, False, False
     if tag in ("article", "main") or a.get("role") in ("main", "article"):
-        return False, True
-    if tag not in ("html", "body") and (names & BOILER_WORDS or "header" in names and not in_content):
-        return True, False
-    return False, bool(names & CONTENT_WORDS) and tag not in ("html", "body")
+        return False, False, True
+    if tag in ("html", "body"):
+        return False, False, False
+    if names & BOILER_WORDS or "header" in names and not in_content:
+        return True, False, False
+    return False, bool(names & DOUBTFUL), bool(names & CONTENT_WORDS)
+
+
+class _Open:
+    """The open elements; finding the innermost of a tag takes no search."""
+
+    def __init__(self):
+        # of each: tag, number, boilerplate, doubtful, inside content; inline elements: whether they hide their text
+        self.all: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        self.of_tag: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = self.muted = 0
+
+    def last(self, tags) -> int:
+        return max((self.of_tag[t][-1] for t in tags if self.of_tag.get(t)), default=0)
+
+    def push(self, tag: str, number: int, source: str) -> None:
+        _, _, hard, doubtful, inside = self.all[-1]
+        boiler, perhaps, content = _marks(tag, source, inside)
+        block = tag in BLOCK
+        if block:
+            hard, doubtful, inside = hard or boiler, doubtful or perhaps, inside or content
+            self.blocks.append(len(self.all))
+        elif boiler or perhaps:
+            self.muted += 1
+        self.of_tag.setdefault(tag, []).append(len(self.all))
+        self.all.append((tag, number, hard, doubtful, inside) if block else (tag, -1 if boiler or perhaps else 0, hard, doubtful, inside))
+        self.links += tag == "a"
+
+    def close(self, k: int) -> None:
+        """Close the k-th element and all within it."""
+        for tag, number, *_ in self.all[k:]:
+            self.of_tag[tag].pop()
+            self.links -= tag == "a"
+            self.muted -= number == -1
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.all[k:]
+
+    def close_open(self, tags: frozenset[str], stop: frozenset[str] = frozenset()) -> None:
+        k = self.last(tags)
+        if k and k > self.last(stop):
+            self.close(k)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page, in order."""
     out: list[Block] = []
-    # of each open element: tag, number, boilerplate, inside content
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-    number = links = at = 0
+    opened = _Open()
+    number = at = linked = 0
     text: list[str] = []
-    linked = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(htmllib.unescape("".join(text)).split())
         if joined:
-            path = tuple(e[1] for e in stack if e[0] in BLOCK)
-            tag = next((e[0] for e in reversed(stack) if e[0] in BLOCK), "")
-            out.append(Block(joined, min(1.0, linked / len(joined)), path, tag, stack[-1][2], stack[-1][3]))
+            around = [opened.all[k] for k in opened.blocks[-3:]]
+            tag, _, hard, doubtful, inside = around[-1] if around else opened.all[0]
+            near = tuple(e[1] for e in around[-2::-1])
+            out.append(Block(joined, min(1.0, linked / len(joined)), near, tag, hard, doubtful, inside))
         text.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[k:])
-        del stack[k:]
-
-    def close_open(tags: frozenset[str], stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                close(k)
-                return
-            if stack[k][0] in stop:
-                return
-
     while at < len(page):
         m = TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece:
+        if piece and not opened.muted:
             text.append(piece)
-            if links:
+            if opened.links:
                 linked += len(piece)
         if not m:
             break
@@ -124,12 +161,9 @@ def blocks_of(page: str) -> list[Block]:
         if ending:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
-                    break
+            k = opened.last((tag,))
+            if k and (tag in BLOCK or not opened.blocks or k > opened.blocks[-1]):
+                opened.close(k)
             continue
         if tag in RAW:
             if not source.endswith("/"):
@@ -143,18 +177,16 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             if tag in ENDS_P:
-                close_open(frozenset({"p"}), frozenset({"button", "td", "th", "table", "caption", "object"}))
+                opened.close_open(frozenset({"p"}), frozenset({"button", "td", "th", "table", "caption", "object"}))
             elif tag in CLOSES:
-                close_open(CLOSES[tag], SCOPES.get(tag, frozenset()))
-            if tag[0] == "h" and tag[1:].isdigit() and stack[-1][0][:1] == "h" and stack[-1][0][1:].isdigit():
-                close(len(stack) - 1)
+                opened.close_open(CLOSES[tag], SCOPES.get(tag, frozenset()))
+            top = opened.all[-1][0]
+            if tag[0] == "h" and tag[1:].isdigit() and top[:1] == "h" and top[1:].isdigit():
+                opened.close(len(opened.all) - 1)
         if tag in VOID:
             continue
         number += 1
-        _, _, hard, inside = stack[-1]
-        boiler, content = _marks(tag, source, inside)
-        stack.append((tag, number, hard or boiler, inside or content))
-        links += tag == "a"
+        opened.push(tag, number, source)
     flush()
     return out
 
@@ -167,6 +199,8 @@ def costs(block: Block) -> tuple[int, int]:
     heading = block.tag[:1] == "h" and block.tag[1:].isdigit()
     score = 0.6 * min(words, 50) + (40 if block.inside else 0) + (8 if block.tag in ("p", "blockquote", "pre", "td", "dd", "figcaption") else 0) + (6 if heading else 0)
     score -= block.linked * (30 if block.tag == "li" else 24) + (0 if block.tag in ("p", "blockquote", "pre") or heading or block.inside else 10)
+    if block.doubtful:
+        score -= AGAINST
     if words < 5 and not block.inside and not heading and block.text[-1] not in ".!?…:;。":
         score -= 6
     return (round(score), 0) if score > 0 else (0, round(-score))
@@ -238,14 +272,13 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
     """Ties: 2 to the next block, and 6 or 3 to the next one with the same parent or grandparent in the tree."""
     edges = [(i - 1, i, 2) for i in range(1, len(blocks))]
-    for up, weight in ((1, 6), (2, 3)):
-        last: dict[tuple[int, ...], int] = {}
+    for up, weight in ((0, 6), (1, 3)):
+        last: dict[int, int] = {}
         for i, b in enumerate(blocks):
-            key = b.path[:-up] if len(b.path) > up else ()
-            if key:
-                if key in last:
-                    edges.append((last[key], i, weight))
-                last[key] = i
+            if len(b.near) > up:
+                if b.near[up] in last:
+                    edges.append((last[b.near[up]], i, weight))
+                last[b.near[up]] = i
     return edges
 
 

@@ -220,6 +220,25 @@ def test_media_query(spark):
     assert rows[1].feature == rows[2].feature and media.digests(documents(spark, [])).count() == 0
 
 
+def test_media_tensors(spark):
+    good = media.store(media.payload_of("some text " * 60))
+    df = spark.createDataFrame([(1, good), (2, None), (3, b""), (4, good[:300]), (5, b"GIF89a"), (None, good)], "id long, media binary")
+    got = {r.id: r.t for r in df.select("id", media.tensors(F.col("media")).alias("t")).collect()}
+    want = media.Picture(good).rgb()
+    for i in (1, None):
+        assert np.array_equal(np.frombuffer(got[i].rgb, np.uint8).reshape(got[i].height, got[i].width, 3), want) and got[i].error is None
+    assert got[2][:2] == got[3][:2] == (0, 0) and not got[2].rgb
+    assert all(got[i].rgb is None and got[i].error for i in (4, 5))
+
+
+def test_media_long_text_and_null_ids(spark):
+    long = "a very long text " * 200_000
+    docs = documents(spark, [(None, long, "en", "s"), (None, None, None, None), (1, long, "en", "s")])
+    got = media.digests(docs).collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in got) == [(False, len(long)), (True, 0), (True, len(long))]
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got if r.n_bytes}) == 1 and all(r.payload_sha256 == hashlib.sha256(media.payload_of(long)).hexdigest() for r in got if r.n_bytes)
+
+
 def test_language(spark):
     rng = random.Random(1)
     make = {"en": "the of and tion ing that with er ".split(), "de": "der die und sch ung keit für über ".split()}
@@ -294,6 +313,27 @@ def test_html():
     assert htmlcut.main_text(plain).count("\n") == 1 and "Home" not in htmlcut.main_text(plain)
 
 
+def test_html_inline_and_doubtful():
+    body = "Some long text of the article that goes on for quite a while. "
+    assert htmlcut.main_text(f"<article><p>{body}<span class='ad'>buy now</p><p>Second.</p>") == f"{body.strip()}\nSecond."
+    assert htmlcut.main_text(f"<article><p>One <a class=share href=#>Share it</a> two.<p>{body}") == f"One two.\n{body.strip()}"
+    related = f"<article><h1>T</h1><p>{body * 3}<section class='related-work'><p>{body * 5}</p><p>{body * 4}</section></article>"
+    assert htmlcut.main_text(related).count("\n") == 3
+    assert htmlcut.main_text(f"<article><p>{body * 3}</p><div class=related><ul><li><a href=/x>More</a><li><a href=/y>Other</a></ul></div></article>") == (body * 3).strip()
+    assert htmlcut.main_text(f"<article><p>{body}</p><div id=comments><p>{body * 9}</div>") == body.strip()
+
+
+def test_html_deep_and_long():
+    import time
+
+    began = time.time()
+    assert htmlcut.main_text("<article><p>x" + "<div>" * 40_000 + "deep words here.") == "x\ndeep words here."
+    many = "<article>" + "".join(f"<p>Paragraph {i} of a long page, with some words in it.</p>" for i in range(20_000)) + "</article><nav>" + "<a href=/>x</a><br>" * 20_000
+    assert htmlcut.main_text(many).count("\n") == 19_999
+    assert htmlcut.main_text("<p><b>" * 20_000 + "</b></p>" * 20_000 + "<p>" + "And the end of the text. " * 4) == ("And the end of the text. " * 4).strip()
+    assert time.time() - began < 30
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 7), st.randoms(use_true_random=False))
 def test_minimum_cut(n, rng):

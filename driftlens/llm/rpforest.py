@@ -4,7 +4,7 @@ Vectors get one more component that makes all norms equal (rows only; a query ge
 product is the nearest. A tree halves the space ``DEPTH`` times, each node by a random direction at the median of a
 bounded sample (``SAMPLE`` rows of the smallest hashes); every row is indexed, in one leaf of each tree. A query takes leaves of all trees in
 the order of one shared priority queue, whose key is the smallest signed distance to the planes on the way to the leaf, until
-they hold ``SHARE`` of all tree entries (``LEAST`` at least). Leaf candidates are reranked exactly, in double precision.
+they hold ``SHARE`` of all tree entries, and k rows in any case. Leaf candidates are reranked exactly, in double precision.
 
 Leaves hold a fixed share of the rows at every size, so the measured recall (README) does not depend on it. A leaf of any size, say of one
 vector repeated for a third of all rows, is worked on in blocks of rows and of queries.
@@ -28,7 +28,7 @@ from driftlens.llm.common import ship, written
 
 TREES, DEPTH = 4, 5
 SAMPLE = 20_000
-SHARE, LEAST = 0.3, 4096
+SHARE = 0.3
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 SEED = 11
 
@@ -150,7 +150,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
         return none
     sample = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(SAMPLE).select("vec").toPandas()
     forest = Forest(_matrix(sample["vec"]), float(most) * (1 + 1e-9))
-    entries = max(share * forest.trees, LEAST * forest.trees / n)
+    # k + 1 entries a tree hold k rows besides the query's own
+    entries = forest.trees * max(share, (k + 1) / n)
 
     @F.pandas_udf("array<int>")
     def index(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -158,6 +158,35 @@ def _read(manifest: DataFrame, folder: str, schema: str, make) -> DataFrame:
     return parts.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 2, "part").mapInPandas(read_parts, schema)
 
 
+def fetch(wanted: DataFrame, folder: str) -> DataFrame:
+    """wanted (part, nth) -> part, nth, key, start (ids before the record in its part), ids: single records in any order, each by two reads at an offset from the index."""
+    ship(wanted.sparkSession)
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = filesystem(folder)
+        for batch in batches:
+            for part, of_part in batch.groupby("part"):
+                rows, size = [], 0
+                with fs.open_input_file(f"{base}/part-{part:06d}.idx") as idx, fs.open_input_file(f"{base}/part-{part:06d}.rec") as rec:
+                    for nth in of_part["nth"]:
+                        offset, before = struct.unpack("<QQ", idx.read_at(16, 16 * nth))
+                        n, check = struct.unpack(FRAME, head := rec.read_at(FRAMED, offset))
+                        if masked(head[:8]) != check:
+                            raise ValueError("broken length of a record")
+                        body = rec.read_at(n + 4, offset + FRAMED)
+                        if masked(body[:n]) != struct.unpack("<I", body[n:])[0]:
+                            raise ValueError("broken payload of a record")
+                        key, ids = _open_payload(body[:n])
+                        rows.append((part, nth, key, before, ids))
+                        size += len(ids)
+                        if size > BLOCK * 4:
+                            yield pd.DataFrame(rows, columns=["part", "nth", "key", "start", "ids"]).astype({"key": "Int64"})
+                            rows, size = [], 0
+                yield pd.DataFrame(rows, columns=["part", "nth", "key", "start", "ids"]).astype({"key": "Int64"})
+
+    return wanted.select(F.col("part").cast("int"), F.col("nth").cast("long")).mapInPandas(look_up, "part int, nth long, key long, start long, ids binary")
+
+
 def digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write docs as records, read the files back: doc_id, start, n_tokens, ids_crc32 of each record."""
     spark = docs.sparkSession

@@ -82,6 +82,21 @@ def test_records(spark, library):
     assert records.digests(documents(spark, []), TOK, 2).count() == 0
 
 
+def test_records_by_index(spark, library):
+    rng = random.Random(7)
+    rows = [(rng.choice([i, None]), rng.choice(["", None, words(rng, rng.randrange(1, 90)), "é" * 30_000]), "en", "s") for i in range(60)]
+    folder = records.new_folder(spark, "records")
+    manifest = records.write(documents(spark, rows), folder, TOK, 2)
+    want = [(r.key, r.ids) for r in records.read_records(spark, folder, manifest).orderBy("start").collect()]
+    places = [(m.part, k) for m in manifest.orderBy("part").collect() for k in range(m.n_records)]
+    asked = list(enumerate(places)) * 2
+    rng.shuffle(asked)
+    got = {(r.part, r.nth): (r.key, r.ids) for r in records.fetch(spark.createDataFrame([p for _, p in asked], "part int, nth long"), folder).collect()}
+    assert len(got) == len(rows) == len(want) and all(got[p] == want[i] for i, p in asked)
+    starts = [r.start for r in records.fetch(spark.createDataFrame([p for p in places if p[0] == places[0][0]], "part int, nth long"), folder).orderBy("nth").collect()]
+    assert starts == [sum(len(x[1]) // 4 for x in want[:i]) for i in range(len(starts))]
+
+
 def test_broken_records(tmp_path):
     import io
 
@@ -359,10 +374,15 @@ def test_forest(spark):
     for r in rpforest.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == set(range(0, 600, 20))
-    for q, found in got.items():  # so few rows are searched whole
+    hits = 0
+    for q, found in got.items():
         s = rpforest.exact_scores(np.repeat(v[q : q + 1].astype(float), 600, 0), v.astype(float))
-        want = [(i, s[i]) for i in sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:20]]
-        assert found == want
+        want = sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:20]
+        assert len(found) == 20 and all(x == s[i] for i, x in found) and found == sorted(found, key=lambda x: (-x[1], x[0])) and q not in [i for i, _ in found]
+        hits += len({i for i, _ in found} & set(want))
+    assert hits / (20 * len(got)) >= 0.9
+    few = rpforest.nearest(df.where("vec_id < 15 or vec_id > 600"), F.col("vec_id") % 5 == 0).collect()
+    assert collections.Counter(r.query_id for r in few) == {0: 14, 5: 14, 10: 14}  # all candidates, if fewer than k
     assert rpforest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -465,13 +485,34 @@ def test_urls(spark, duck):
     assert urlrules.judge_urls(pages.limit(0), ["page_id"]).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text("abc./-_1", max_size=20), st.text("abcs/wp-loginh.", max_size=20))
-def test_rule_index(host, path):
-    index = urlrules.RuleIndex(urlrules.PREFIX_RULES, urlrules.PATTERN_RULES)
-    text = (host + path).lower()
+def test_required_tokens():
+    want = {r"(^|\.)spam-farm\.": ("spam", "farm"), r"/wp-login\.php$": ("wp", "login", "php"), r"free-?pills\.": (), r"(^|[./-])casino[./-]": ("casino",), r"casino": (), r"/ads?/": (), r"/(a|b)/shop/": ("shop",), r"/x[0-9]/": (), r"/(?:tag)s/": ("tags",), r"^track\b": (), r"//+img/": ("img",), r"(?m)^x/": (), r"/a*b/": (), r"(?i:/AD/)": (), r"/ad(?=/)": (), r"[^a-z]ad/": ()}
+    assert {p: urlrules.required_tokens(p) for p in want} == want
+
+
+PARTS = ["spam-farm", "spam", "farm", "casino", "wp-login.php", "ads", "ad", "adserver", "free-pills", "freepills", "about", "banner", "www", "x1", ".", "/", "-", "//", "about/", ".com"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=6), st.lists(st.sampled_from(PARTS), max_size=6), st.dictionaries(st.sampled_from(["spam", "farm", "casino", "wp", "login", "php", "about"]), st.integers(1, 9)))
+def test_rule_index(hosts, paths, often):
+    """Rules found through their rarest token against every rule tried, whichever token is rarest."""
+    host, path = "".join(hosts), "/" + "".join(paths)
+    text = host + path
     hits = {r.verdict for r in urlrules.PATTERN_RULES if re.search(r.pattern, text)}
-    assert index.by_pattern(host, path) == ("allow" if "allow" in hits or not hits else "block")
+    assert urlrules.RuleIndex(urlrules.PREFIX_RULES, urlrules.PATTERN_RULES, often).by_pattern(host, path) == ("allow" if "allow" in hits or not hits else "block")
+
+
+def test_rules_from_table(spark):
+    rows = [("block", "com", "/en/", None), ("allow", None, None, "/ok/"), ("block", None, None, "/(shop|ok)/"), ("block", "com", "/en/", None)]
+    prefix, patterns = urlrules.rules_from(spark.createDataFrame(rows, "verdict string, host string, path string, pattern string"))
+    assert prefix == (urlrules.PrefixRule("block", "com", "/en/"),) and len(patterns) == 2
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "r"), (1, "http://a.org/shop/", "r"), (2, "http://a.org/ok/", "r"), (3, None, "r")], "page_id long, url string, rule string")
+    got = [tuple(r) for r in urlrules.judge_urls(pages, ["page_id"], prefix=prefix, patterns=patterns).collect()]
+    assert [(r[0], r[3], r[4]) for r in got] == [(1, "com/en/", "block"), (1, None, "block"), (2, None, "allow"), (3, None, "allow")]
+    assert urlrules.token_counts(pages, "url", patterns) == {"ok": 1} and "shop" not in urlrules.required_tokens("/(shop|ok)/")
+    with pytest.raises(ValueError):
+        urlrules.rules_from(spark.createDataFrame([("maybe", "a", "b", None)], "verdict string, host string, path string, pattern string"))
 
 
 def test_pipeline(spark):

@@ -388,17 +388,19 @@ def decode(ids: Column, tokenizer: str) -> Column:
     return bpe_decode(ids)
 
 
-def round_trip_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of each row's whole text; one row for each row of docs.
+def round_trip_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 of each row's whole text, and more columns by name; one row for each row of docs.
 
     Ids never leave the task that made them, and nothing is shuffled; rows of any key, null or repeated, stay.
     """
     ship(docs.sparkSession)
-    ids = docs.select(F.col(key), encode(F.col(text), tokenizer).alias("ids"))
-    both = ids.select(key, "ids", decode(F.col("ids"), tokenizer).alias("decoded"))
+    more = more or {}
+    ids = docs.select(F.col(key), *[c.alias(n) for n, c in more.items()], encode(F.col(text), tokenizer).alias("__ids"))
+    both = ids.select(key, *more, "__ids", decode(F.col("__ids"), tokenizer).alias("__decoded"))
     return both.select(
         key,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("__ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

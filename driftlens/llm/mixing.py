@@ -1,26 +1,28 @@
 """Mixing sources to target weights by Pfair scheduling (op 4); DataFrame operations only.
 
-Documents of a source are put into blocks of ``block_docs`` in a seeded pseudo-random order. Weights are whole numbers
-n_s of slots in a period of ``period`` slots (their sum; largest remainders, at least one each). Block i of a source with weight
-w = n_s / period is released at slot floor(i / w) and due at ceil((i + 1) / w); in each slot the released block with
-the earliest deadline goes (ties: the smaller rank of the source). As the weights add up to one, every block meets
-its deadline, so after t slots a source has had more than w t - 1 and less than w t + 1 blocks. Windows
-repeat every period, so one period is scheduled, in one row, and block i goes to slot
-(i div n_s) * period + the slot of its (i mod n_s)-th block there: nothing sequential grows with the corpus.
+Documents of a source are put into units of a third of ``block_docs`` in a seeded pseudo-random order, and every slot of the mix holds one unit. Time is cut
+into periods of a power of two slots that are scheduled each by itself, in parallel:
 
-Rounding to ``period`` lets a source drift from its target as the corpus grows. With ``exact`` the windows come from the targets
-themselves (as whole numbers of ``UNIT`` parts, an error of less than slots / UNIT blocks) and all slots are scheduled, in one row:
-after any t slots a source is less than one block away from its target. That is one fold of slots x sources steps.
+- *Between periods* a source with weight w has had floor or ceil of w t units at slot t: the sources stand in a row, and with c_k the sum of the
+  weights up to the k-th, source k has had floor(c_k t) - floor(c_(k-1) t). Nothing is rounded to the period, so nothing drifts.
+- *Within a period* of P slots the source's n units are Pfair: unit j is released at slot floor(j P / n) and due at ceil((j + 1) P / n),
+  and each slot takes the released unit of the earliest deadline (ties: smaller rank). The n add up to P, so all deadlines are met.
 
-When a source has run out its slots stay empty and the others go on: every document comes out exactly once.
-Without ``targets`` the weights are the sources' document counts to the power ``temper``.
+Both errors are less than one unit, so at any slot a source is less than two units, that is, less than one block of ``block_docs`` documents (of 3 at least), away
+from its target. Sources with less than two units a period share a pool, which is scheduled as one source; in the pool they are scheduled among
+themselves in the same manner, over ``LEVELS`` levels. Weights are whole parts of ``UNIT``, one at least: an error of slots / UNIT units.
+
+When a source has run out its slots stay empty and the others go on: every document comes out exactly once. Beyond ``FAR`` times as many slots as there are
+units, where hardly a source is left, a unit goes to the slot of its release, i / w. Without ``targets`` the weights are
+the sources' document counts to the power ``temper``.
 
 Defined results: a null source is a source of its own; sources that targets do not name, or name with a weight of
-zero or less, come after all others, in the same manner among themselves; repeated rows each get a place; a table without rows gives none.
+zero or less, come after all others, in the same manner among themselves; repeated rows each get a place; columns named as those that are added are
+replaced; a table without rows gives none.
 
 Scale: rows are numbered within (source, slice of the order), a slice being one of ``SLICES`` ranges of a hash, and moved up by the
 counts of the slices before; a source with a third of all rows is spread over all slices. Only ids move, not texts,
-unless texts are asked for in order.
+unless texts are asked for in order. Plan and rows meet by (source, unit), of which each has a few rows. Tables of sources, a row each, are small.
 """
 
 from __future__ import annotations
@@ -29,165 +31,163 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PERIOD = 1024
+from driftlens.llm.common import written
+
+PERIOD, CHUNK = 4096, 64  # slots; slots that the schedule puts together at once
 BLOCK_DOCS = 16
 TEMPER = 0.7
 UNIT = 1 << 36
-CHUNK = 1024  # slots that the exact schedule puts together at once
+LEVELS = 4
+FAR = 4
 SLICES = 1024  # of the order of each source; a power of 16
+POOL = 2**31 - 1
+_COLUMNS = ("mix_tier", "mix_slot", "mix_at")
+_div = lambda a, b: F.call_function("div", a, b)
+_long = lambda x: F.lit(x).cast("long")
 
 
-def _weighed(sizes: DataFrame, targets: dict[str, float] | None, temper: float) -> DataFrame:
-    """sizes with tier and w, the weight before anything is rounded."""
+def weighed(sizes: DataFrame, targets: dict[str, float] | None, temper: float, unit: int) -> DataFrame:
+    """sizes (source, n) -> source, tier (0: to be mixed, 1: after all others), rank, units, w, level. A row a source."""
     if targets is None:
-        weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temper)))
+        w = F.pow(F.col("n").cast("double"), F.lit(temper))
     else:
         given = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))]) if targets else F.create_map().cast("map<string,double>")
-        weighed = sizes.withColumn("w", F.coalesce(given[F.coalesce(F.col("source"), F.lit(""))], F.lit(0.0)))
-    tier = F.when(F.col("w") > 0, 0).otherwise(1)
-    return weighed.withColumn("tier", tier).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("n").cast("double")))
-
-
-def weights(sizes: DataFrame, targets: dict[str, float] | None, temper: float, period: int) -> DataFrame:
-    """sizes (source, n) -> source, tier (0: to be mixed, 1: after all others), rank, slots, period. A row a source."""
-    weighed = _weighed(sizes, targets, temper)
+        w = F.coalesce(given[F.coalesce(F.col("source"), F.lit(""))], F.lit(0.0))
     of_tier = Window.partitionBy("tier")
-    order = F.col("source").asc_nulls_first()
-    # a period of at least four slots a source leaves room for the smallest
-    size = F.greatest(F.lit(period), F.lit(4) * F.count("*").over(of_tier)).cast("long")
-    share = F.col("w") / F.sum("w").over(of_tier)
-    shared = weighed.withColumn("period", size).withColumn("rank", F.row_number().over(of_tier.orderBy(order)))
-    spare = F.col("period") - F.count("*").over(of_tier)
-    shared = shared.withColumn("exact", F.round(share * spare, 9)).withColumn("floor", F.floor("exact").cast("long"))
-    left = spare - F.sum("floor").over(of_tier)
-    by_rest = of_tier.orderBy((F.col("exact") - F.col("floor")).desc(), "rank")
-    return shared.withColumn("left", left).select("source", "tier", "rank", (1 + F.col("floor") + F.when(F.row_number().over(by_rest) <= F.col("left"), 1).otherwise(0)).alias("slots"), "period")
-
-
-def period_plan(shares: DataFrame) -> DataFrame:
-    """shares as weights() gives them -> tier, rank, nth, slot: the earliest-deadline-first schedule of one period.
-
-    The fold keeps, for each source, how many blocks it has had: block k is released when k * period < (t + 1) * slots
-    and due at ceil((k + 1) * period / slots).
-    """
-    rows = shares.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("rank", "slots"))).alias("s"), F.max("period").alias("p"))
-    none = F.lit(2**40).cast("long")
-
-    def due(k: Column, n: Column, p: Column) -> Column:
-        return F.ceil(((k + 1) * p) / n).cast("long")
+    out = sizes.withColumn("w", w).withColumn("tier", F.when(F.col("w") > 0, 0).otherwise(1)).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("n").cast("double")))
+    out = out.withColumn("w", F.greatest("w", F.sum("w").over(of_tier) / UNIT)).withColumn("rank", F.row_number().over(of_tier.orderBy(F.col("source").asc_nulls_first())))
+    out = out.withColumns({"units": _div(F.col("n") + (unit - 1), _long(unit)), "level": F.lit(LEVELS)})
+    # from the last level up: what has two units a period among the sources that no level above has taken
+    for level in range(1, LEVELS):
+        left = F.col("level") == LEVELS
+        all_w, all_n = F.sum(F.when(left, F.col("w"))).over(of_tier), F.count(F.when(left, 1)).over(of_tier)
+        out = out.withColumn("level", F.when(left & (F.col("w") * _period(all_n) >= 2 * all_w), level).otherwise(F.col("level")))
+    return out.select("source", "tier", "rank", "units", "w", "level")
+
+
+def _period(sources: Column) -> Column:
+    """Slots of a period: a power of two, 32 a source at least."""
+    return F.greatest(_long(PERIOD), F.pow(F.lit(2.0), F.ceil(F.log2(sources * 32))).cast("long"))
+
+
+def items(sources: DataFrame) -> DataFrame:
+    """sources as weighed() gives them -> tier, level, period, periods, s: the items of a level in a row, each with rank, lo and hi, its place among UNIT parts."""
+    at = sources.select("tier", "rank", "w", "units", F.col("level").alias("own"), F.explode(F.sequence(F.lit(1), F.col("level"))).alias("level"))
+    of_level = Window.partitionBy("tier", "level")
+    # what the slowest source needs, were it alone in its levels
+    at = at.withColumn("need", F.ceil((F.col("units") + 4) * (F.sum("w").over(of_level) / F.col("w"))).cast("long"))
+    item = F.when(F.col("own") == F.col("level"), F.col("rank")).otherwise(POOL).alias("rank")
+    each = at.groupBy("tier", "level", item).agg(F.sum("w").alias("w"), F.sum("units").alias("units"), F.max("need").alias("need"))
+    order = of_level.orderBy("rank")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, number = F.count("*").over(of_level), F.row_number().over(order)
+    # one part each, the others by the rounded running sum, so that nothing is left over
+    cut = F.round(F.sum("w").over(upto) / F.sum("w").over(of_level) * (_long(UNIT) - n)).cast("long")
+    each = each.withColumn("hi", F.when(number == n, _long(UNIT)).otherwise(cut + number)).withColumn("n", n)
+    each = each.withColumn("lo", F.coalesce(F.lag("hi").over(order), _long(0)))
+    period = F.max(_period(F.col("n")))
+    far = F.least(F.max("need"), FAR * F.sum("units") + FAR * period)
+    return each.groupBy("tier", "level").agg(period.alias("period"), (_div(far - 1, period) + 1).alias("periods"), F.array_sort(F.collect_list(F.struct("rank", "lo", "hi"))).alias("s"))
+
+
+def plan(of_levels: DataFrame) -> DataFrame:
+    """items() -> tier, level, rank, i, slot of each unit of each item: an earliest-deadline-first schedule of every period."""
+    spark = of_levels.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = of_levels.select("tier", "level", "period", "s", F.explode(F.sequence(_long(0), F.col("periods") - 1)).alias("p")).repartition(tasks, "tier", "level", "p")
+    part = _div(_long(UNIT), F.col("period"))
+    upto = lambda c, p: _div(c * p, part)
+    had = lambda x, p: upto(x["hi"], p) - upto(x["lo"], p)
+    each = F.transform("s", lambda x: F.struct(_long(0).alias("had"), (had(x, F.col("p") + 1) - had(x, F.col("p"))).alias("n")))
+    none = _long(2**62)
 
     def step(state: Column, t: Column) -> Column:
+        p = state["p"]
         options = F.transform(
-            F.arrays_zip(state["had"], state["slots"]),
-            lambda x, i: F.struct(
-                F.when((x["had"] < x["slots"]) & (x["had"] * state["p"] < (t + 1) * x["slots"]), due(x["had"], x["slots"], state["p"])).otherwise(none).alias("due"),
-                i.cast("int").alias("i"),
-            ),
+            state["all"],
+            lambda x, i: F.struct(F.when((x["had"] < x["n"]) & (x["had"] * p < (t + 1) * x["n"]), _div((x["had"] + 1) * p + x["n"] - 1, x["n"])).otherwise(none).alias("due"), i.cast("int").alias("i"), x["had"].alias("had")),
         )
-        chosen = F.array_min(options)["i"]
-        return F.struct(
-            F.transform(state["had"], lambda h, i: F.when(i == chosen, h + 1).otherwise(h)).alias("had"),
-            state["slots"].alias("slots"),
-            state["p"].alias("p"),
-            F.concat(state["plan"], F.array(chosen)).alias("plan"),
+        chosen = F.array_min(options)
+        # bound once
+        return F.aggregate(
+            F.array(chosen),
+            state,
+            lambda s, c: F.struct(
+                F.transform(s["all"], lambda x, i: F.struct(F.when(i == c["i"], x["had"] + 1).otherwise(x["had"]).alias("had"), x["n"].alias("n"))).alias("all"),
+                s["p"].alias("p"),
+                F.concat(s["plan"], F.array(F.struct(c["i"].alias("i"), c["had"].alias("had")))).alias("plan"),
+            ),
         )
 
-    slots = F.transform("s", lambda x: x["slots"].cast("long"))
-    start = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("had"), slots.alias("slots"), F.col("p").cast("long").alias("p"), F.array().cast("array<int>").alias("plan"))
-    plan = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("p").cast("long") - 1), start, step)
-    flat = rows.select("tier", "s", F.posexplode(plan["plan"]).alias("slot", "i")).select("tier", F.col("s")[F.col("i")]["rank"].alias("rank"), F.col("slot").cast("long"))
-    nth = F.row_number().over(Window.partitionBy("tier", "rank").orderBy("slot")) - 1
-    return flat.select("tier", "rank", nth.cast("long").alias("nth"), "slot")
-
-
-def exact_weights(sizes: DataFrame, targets: dict[str, float] | None, temper: float) -> DataFrame:
-    """sizes (source, n) -> source, n, tier, rank, parts: the target in parts of UNIT, which add up to it."""
-    of_tier = Window.partitionBy("tier")
-    order = of_tier.orderBy(F.col("source").asc_nulls_first())
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = _weighed(sizes, targets, temper).withColumn("rank", F.row_number().over(order))
-    # one part each, the others by the rounded running sum, so that nothing is left over
-    spare = F.lit(UNIT) - F.count("*").over(of_tier)
-    cut = F.round(F.sum("w").over(upto) / F.sum("w").over(of_tier) * spare).cast("long")
-    w = w.withColumn("cut", F.when(F.col("rank") == F.count("*").over(of_tier), spare).otherwise(cut))
-    return w.select("source", "n", "tier", "rank", (1 + F.col("cut") - F.coalesce(F.lag("cut").over(order), F.lit(0))).alias("parts"))
-
-
-def exact_plan(parts: DataFrame, block_docs: int) -> DataFrame:
-    """parts as exact_weights() gives them -> tier, rank, plan: the slots of all blocks of a source, in order."""
-    div = lambda a, b: F.call_function("div", a, b)
-    ceil = lambda a, b: div(a + b - 1, b)
-    blocks = ceil(F.col("n"), F.lit(block_docs).cast("long"))
-    rows = parts.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("rank", "parts"))).alias("s"), F.max(ceil(blocks * UNIT, F.col("parts"))).alias("slots"))
-    unit, none = F.lit(UNIT).cast("long"), F.lit(2**62).cast("long")
-
-    def step(state: Column, t: Column) -> Column:
-        options = F.transform(state["all"], lambda x, i: F.struct(F.when(x["had"] * unit < (t + 1) * x["parts"], ceil((x["had"] + 1) * unit, x["parts"])).otherwise(none).alias("due"), i.cast("int").alias("i")))
-        chosen = F.array_min(options)["i"]
-        return F.struct(
-            F.transform(state["all"], lambda x, i: F.struct(F.when(i == chosen, x["had"] + 1).otherwise(x["had"]).alias("had"), x["parts"].alias("parts"))).alias("all"),
-            F.concat(state["plan"], F.array(chosen)).alias("plan"),
-        )
+    nothing = "array<struct<i:int,had:bigint>>"
 
     def chunk(state: Column, c: Column) -> Column:
-        empty = F.struct(state["all"].alias("all"), F.array().cast("array<int>").alias("plan"))
-        done = F.aggregate(F.sequence(c * CHUNK, c * CHUNK + CHUNK - 1), empty, step, lambda x: F.struct(x["all"].alias("all"), x["plan"].alias("plan")))
-        return F.aggregate(F.array(done), state, lambda x, d: F.struct(d["all"].alias("all"), F.concat(x["plan"], d["plan"]).alias("plan")))
-
-    start = F.struct(F.transform("s", lambda x: F.struct(F.lit(0).cast("long").alias("had"), x["parts"].cast("long").alias("parts"))).alias("all"), F.array().cast("array<int>").alias("plan"))
-    chunks = F.sequence(F.lit(0).cast("long"), div(F.col("slots") - 1, F.lit(CHUNK).cast("long")))
-    flat = rows.select("tier", "s", F.posexplode(F.aggregate(chunks, start, chunk)["plan"]).alias("slot", "i"))
-    return flat.groupBy("tier", F.col("s")[F.col("i")]["rank"].alias("rank")).agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("plan"))
-
-
-def _exactly(docs: DataFrame, base: DataFrame, counts: DataFrame, targets, key: str, block_docs: int, temper: float, s: str, h: str, cut: str) -> DataFrame:
-    parts = exact_weights(counts.groupBy(F.col(s).alias("source")).agg(F.sum("n").alias("n")), targets, temper)
-    plan = parts.select(F.col("source").alias("s_s"), F.col("tier").alias("s_tier"), "rank").join(exact_plan(parts, block_docs).withColumnRenamed("tier", "s_tier"), ["s_tier", "rank"])
-    upto = Window.partitionBy(s).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col(s).alias("b_s"), F.col(cut).alias("b_cut"), F.col("n").alias("b_n"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("b_before"))
-    # a slice's rows get the slots of its own blocks only
-    lo, hi = F.floor(F.col("b_before") / block_docs), F.floor((F.col("b_before") + F.col("b_n") - 1) / block_docs)
-    offsets = before.join(plan, F.col("b_s").eqNullSafe(F.col("s_s"))).select("b_s", "b_cut", "b_before", "s_tier", lo.alias("b_lo"), F.slice("plan", (lo + 1).cast("int"), (hi - lo + 1).cast("int")).alias("b_plan"))
-    numbered = base.withColumn("__mix_i", F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1)
-    at = numbered.join(offsets, F.col(s).eqNullSafe(F.col("b_s")) & (F.col(cut) == F.col("b_cut")))
-    i = F.col("b_before") + F.col("__mix_i")
-    slot = F.get("b_plan", (F.floor(i / block_docs) - F.col("b_lo")).cast("int"))
-    return at.select(*[F.col(c) for c in docs.columns], F.col("s_tier").alias("mix_tier"), slot.alias("mix_slot"), F.pmod(i, F.lit(block_docs)).cast("int").alias("mix_at"))
-
-
-def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", key: str = "doc_id", seed: str = "mix", block_docs: int = BLOCK_DOCS, temper: float = TEMPER, period: int = PERIOD, exact: bool = False) -> DataFrame:
-    """docs with the columns mix_tier, mix_slot, mix_at: its place is their order; a slot holds one block of one source."""
-    # named so that they clash with no column of docs
+        start = F.struct(state["all"].alias("all"), state["p"].alias("p"), F.array().cast(nothing).alias("plan"))
+        done = F.aggregate(F.sequence(c * CHUNK, c * CHUNK + CHUNK - 1), start, step)
+        return F.aggregate(F.array(done), state, lambda s, d: F.struct(d["all"].alias("all"), d["p"].alias("p"), F.concat(s["plans"], F.array(d["plan"])).alias("plans")))
+
+    start = F.struct(each.alias("all"), F.col("period").alias("p"), F.array().cast(f"array<{nothing}>").alias("plans"))
+    chunks = F.sequence(_long(0), _div(F.col("period"), _long(CHUNK)) - 1)
+    flat = rows.select("tier", "level", "period", "p", "s", F.posexplode(F.flatten(F.aggregate(chunks, start, chunk)["plans"])).alias("at", "x"))
+    item = F.col("s")[F.col("x.i")]
+    return flat.select("tier", "level", item["rank"].alias("rank"), (had(item, F.col("p")) + F.col("x.had")).alias("i"), (F.col("p") * F.col("period") + F.col("at")).alias("slot"))
+
+
+def unit_slots(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tier, rank, i, slot of the units that the schedule reaches; tier, far: the slots that it spans)."""
+    of_levels = items(sources)
+    depth = sources.agg(F.max("level")).first()[0] or 1
+    found = plan(of_levels)
+    if depth > 1:
+        found = written(found, "plan")
+    slots = None
+    for level in range(depth, 0, -1):
+        here = found.where(F.col("level") == level).select("tier", "rank", "i", "slot")
+        own = here.where(F.col("rank") != POOL)
+        if slots is None:
+            slots = own
+            continue
+        pool = here.where(F.col("rank") == POOL).select("tier", F.col("i").alias("slot"), F.col("slot").alias("above"))
+        last = F.element_at("s", -1)
+        share = of_levels.where(F.col("level") == level).select("tier", (F.col("period") * F.col("periods")).alias("far"), ((last["hi"] - last["lo"]) / UNIT).alias("share"))
+        release = F.greatest("far", F.floor(F.col("slot") / F.col("share")))
+        slots = own.union(slots.join(pool, ["tier", "slot"], "left").join(share, "tier").select("tier", "rank", "i", F.coalesce("above", release).alias("slot")))
+    return slots, of_levels.where("level = 1").select("tier", (F.col("period") * F.col("periods")).alias("far"))
+
+
+def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", key: str = "doc_id", seed: str = "mix", block_docs: int = BLOCK_DOCS, temper: float = TEMPER) -> DataFrame:
+    """docs with the columns mix_tier, mix_slot, mix_at: its place is their order; a slot holds one unit of one source."""
+    unit = max(1, block_docs // 3)
+    # all names of its own begin with __mix_
     s, h, cut = "__mix_source", "__mix_hash", "__mix_slice"
     base = docs.withColumn(s, F.col(source).cast("string")).withColumn(h, F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
     digits = len(f"{SLICES - 1:x}")
     base = base.withColumn(cut, F.floor(F.conv(F.substring(h, 1, digits), 16, 10).cast("int") / F.lit(16**digits // SLICES)).cast("int"))
     counts = base.groupBy(s, cut).agg(F.count("*").alias("n"))
-    if exact:
-        return _exactly(docs, base, counts, targets, key, block_docs, temper, s, h, cut)
-    shares = weights(counts.groupBy(F.col(s).alias("source")).agg(F.sum("n").alias("n")), targets, temper, period)
-    plan = period_plan(shares)
+    sources = written(weighed(counts.groupBy(F.col(s).alias("source")).agg(F.sum("n").alias("n")), targets, temper, unit), "sources")
+    slots, far = unit_slots(sources)
     # rows of a source in slices before this one: SLICES rows a source
     upto = Window.partitionBy(s).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col(s).alias("b_s"), F.col(cut).alias("b_cut"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("b_before"))
-    share = shares.select(F.col("source").alias("s_s"), F.col("tier").alias("s_tier"), F.col("rank").alias("s_rank"), F.col("slots").alias("s_slots"), F.col("period").alias("s_period"))
-    offsets = before.join(share, F.col("b_s").eqNullSafe(F.col("s_s")))
-    within = F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1
-    numbered = base.withColumn("__mix_i", within)
-    at = numbered.join(offsets, F.col(s).eqNullSafe(F.col("b_s")) & (F.col(cut) == F.col("b_cut")))
-    i = F.col("b_before") + F.col("__mix_i")
-    block = F.floor(i / block_docs).cast("long")
-    at = at.withColumn("__mix_block", block).withColumn("mix_at", F.pmod(i, F.lit(block_docs)).cast("int"))
-    at = at.withColumn("__mix_nth", F.pmod(F.col("__mix_block"), F.col("s_slots")))
-    p = plan.select(F.col("tier").alias("p_tier"), F.col("rank").alias("p_rank"), F.col("nth").alias("p_nth"), F.col("slot").alias("p_slot"))
-    out = at.join(p, (F.col("s_tier") == F.col("p_tier")) & (F.col("s_rank") == F.col("p_rank")) & (F.col("__mix_nth") == F.col("p_nth")))
-    slot = F.floor(F.col("__mix_block") / F.col("s_slots")).cast("long") * F.col("s_period") + F.col("p_slot")
-    return out.select(*[F.col(c) for c in docs.columns], F.col("s_tier").alias("mix_tier"), slot.alias("mix_slot"), "mix_at")
-
-
-def mixed(docs: DataFrame, targets: dict[str, float] | None = None, **how) -> DataFrame:
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("tier"))
+    known = sources.withColumn("share", share).join(far, "tier").select(F.col("source").alias("__mix_of"), F.col("tier").alias("__mix_tier"), F.col("rank").alias("__mix_rank"), F.col("share").alias("__mix_share"), F.col("far").alias("__mix_far"))
+    before = counts.select(F.col(s).alias("__mix_b"), F.col(cut).alias("__mix_cut"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__mix_before"))
+    offsets = before.join(known, F.col("__mix_b").eqNullSafe(F.col("__mix_of")))
+    numbered = base.withColumn("__mix_nth", F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1)
+    at = numbered.join(offsets, F.col(s).eqNullSafe(F.col("__mix_b")) & (F.col(cut) == F.col("__mix_cut"))).withColumn("__mix_i", F.col("__mix_before") + F.col("__mix_nth"))
+    at = at.withColumn("__mix_unit", _div(F.col("__mix_i"), _long(unit)))
+    unit_at = slots.select(F.col("tier").alias("__mix_t"), F.col("rank").alias("__mix_r"), F.col("i").alias("__mix_u"), F.col("slot").alias("__mix_slot"))
+    met = at.join(unit_at, (F.col("__mix_tier") == F.col("__mix_t")) & (F.col("__mix_rank") == F.col("__mix_r")) & (F.col("__mix_unit") == F.col("__mix_u")), "left")
+    slot = F.coalesce("__mix_slot", F.greatest("__mix_far", F.floor(F.col("__mix_unit") / F.col("__mix_share"))))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in _COLUMNS]
+    return met.select(*kept, F.col("__mix_tier").alias("mix_tier"), slot.alias("mix_slot"), F.pmod("__mix_i", _long(unit)).cast("int").alias("mix_at"))
+
+
+def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", **how) -> DataFrame:
     """docs in the order of the mix, over all files that are written from it; the same columns and rows."""
-    order = ["__tier", "__slot", "__at"]
+    order = ["__tier", "__slot", "__of", "__at"]
     kept = docs.columns
-    at = placed(docs, targets, **how).withColumnsRenamed({"mix_tier": "__tier", "mix_slot": "__slot", "mix_at": "__at"})
+    # under other names while they are placed, so that none is replaced
+    held = docs.withColumns({f"__{c}_held": F.col(c) for c in kept if c.lower() in _COLUMNS})
+    at = placed(held, targets, source=source, **how).withColumnsRenamed({"mix_tier": "__tier", "mix_slot": "__slot", "mix_at": "__at"}).withColumn("__of", F.col(source).cast("string"))
+    at = at.withColumnsRenamed({f"__{c}_held": c for c in kept if c.lower() in _COLUMNS})
     return at.repartitionByRange(*order).sortWithinPartitions(*order).select(*kept)

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, dartminhash, htmlcut, langid, media, mixing, records, rpforest, urlrules
+from driftlens.llm import bpe, dartminhash, htmlcut, langid, media, records, rpforest, urlrules
 from driftlens.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -275,46 +275,6 @@ def test_host_evidence(spark):
     assert got == [("a.x.org", "de"), (None, None), (None, None)]
 
 
-def _edf(shares, period):
-    had, plan = {s: 0 for s in shares}, []
-    for t in range(period):
-        ready = [(-(-(had[s] + 1) * period // n), s) for s, n in shares.items() if had[s] < n and (had[s] * period) // n <= t]
-        _, s = min(ready)
-        had[s] += 1
-        plan.append(s)
-    return plan
-
-
-def test_pfair(spark):
-    rng = random.Random(5)
-    rows = [(i, "t", "en", rng.choices(["hot", "b", "c", None], [6, 3, 2, 1])[0]) for i in range(900)] + [(1, "t", "en", "b")] * 3 + [(None, None, None, "c")]
-    docs = documents(spark, rows)
-    got = mixing.placed(docs, block_docs=4).collect()
-    assert len(got) == len(rows)
-    sizes = collections.Counter(r[3] for r in rows)
-    shares = {r.rank: r.slots for r in mixing.weights(spark.createDataFrame(list(sizes.items()), "source string, n long"), None, mixing.TEMPER, mixing.PERIOD).collect()}
-    names = {r.rank: r.source for r in mixing.weights(spark.createDataFrame(list(sizes.items()), "source string, n long"), None, mixing.TEMPER, mixing.PERIOD).collect()}
-    assert sum(shares.values()) == mixing.PERIOD
-    plan = _edf(shares, mixing.PERIOD)
-    blocks = collections.defaultdict(set)
-    for r in got:
-        blocks[r.source].add(r.mix_slot)
-        assert names[plan[r.mix_slot % mixing.PERIOD]] == r.source
-    assert collections.Counter((r.mix_slot, r.mix_at) for r in got).most_common(1)[0][1] == 1
-    for rank, n in shares.items():  # less than one block off, at every slot of the period
-        had = 0
-        for t, s in enumerate(plan, 1):
-            had += s == rank
-            assert abs(had - n * t / mixing.PERIOD) < 1
-    for s, n in sizes.items():
-        assert len(blocks[s]) == -(-n // 4)
-    named = mixing.placed(docs, {"b": 3.0, "hot": 1.0}, block_docs=4).collect()
-    assert len(named) == len(rows) and {r.mix_tier for r in named if r.source in ("b", "hot")} == {0} and {r.mix_tier for r in named if r.source not in ("b", "hot")} == {1}
-    out = mixing.mixed(documents(spark, rows, True))
-    assert out.columns == documents(spark, rows, True).columns and out.count() == len(rows)
-    assert mixing.placed(documents(spark, [])).count() == 0
-
-
 PAGE = """<!doctype html><html><head><title>no</title><style>p{}</style></head><body class="page"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies to make this site work as you would like it to.</p></div><main><article><h1>A &amp; B</h1><p>First   <b>bold</b>&nbsp;text
 of it.<br>Next line.<script>var x = "</p>";</script><p>Of.</p><div class="share-buttons"><a href=#>Share</a></div><blockquote>Quoted words here.</blockquote><ul><li>one<li>two</ul><form><label>Mail</label><input></form>

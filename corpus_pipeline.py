@@ -7,6 +7,7 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftlens.llm import bpe, dartminhash, langid, mixing, passages
 from driftlens.llm.common import read, tokenizer_path, written
@@ -29,12 +30,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix over the files written."""
-    return mixing.mixed(docs, exact=True)
+    return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
-    return bpe.round_trip_digests(docs, tokenizer_path())
+    """doc_id, n_tokens, the digests of the ids and of the text decoded from them, and the place in the mix: rows in order of the three."""
+    place = {"mix_file": F.regexp_extract(F.input_file_name(), r"[^/]*$", 0), "mix_block": F.input_file_block_start(), "mix_row": F.monotonically_increasing_id()}
+    return bpe.round_trip_digests(docs, tokenizer_path(), more=place)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]

@@ -490,3 +490,19 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in docs.collect()}
     assert set(range(60)) <= ids and len(ids & {101, 102}) == 1
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nothing at all, extra columns of any name, and the order of the mix in what comes out."""
+    import corpus_pipeline
+    from driftlens.llm import mixing
+
+    folder = str(tmp_path)
+    documents(spark, []).write.parquet(f"{folder}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+    rng = random.Random(4)
+    rows = [(i, words(rng, 70), "en", f"s{i % 4}") for i in range(80)] + [(100, None, None, None), (101, "", "en", "s"), (None, words(rng, 60), "en", "s0")]
+    documents(spark, rows, True).write.parquet(f"{folder}/some/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{folder}/some").orderBy("mix_file", "mix_block", "mix_row").collect()
+    at = {r.doc_id: (r.mix_tier, r.mix_slot, r.source or "", r.mix_at) for r in mixing.placed(documents(spark, [r for r in rows if r[0] != 101])).collect()}
+    assert len(got) == len(rows) - 1 and [at[r.doc_id] for r in got] == sorted(at.values())

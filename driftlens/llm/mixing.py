@@ -175,7 +175,8 @@ def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source:
     numbered = base.withColumn("__mix_nth", F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1)
     at = numbered.join(offsets, F.col(s).eqNullSafe(F.col("__mix_b")) & (F.col(cut) == F.col("__mix_cut"))).withColumn("__mix_i", F.col("__mix_before") + F.col("__mix_nth"))
     at = at.withColumn("__mix_unit", _div(F.col("__mix_i"), _long(unit)))
-    unit_at = slots.select(F.col("tier").alias("__mix_t"), F.col("rank").alias("__mix_r"), F.col("i").alias("__mix_u"), F.col("slot").alias("__mix_slot"))
+    # the plan grows with the corpus, whatever its compressed size
+    unit_at = slots.select(F.col("tier").alias("__mix_t"), F.col("rank").alias("__mix_r"), F.col("i").alias("__mix_u"), F.col("slot").alias("__mix_slot")).hint("merge")
     met = at.join(unit_at, (F.col("__mix_tier") == F.col("__mix_t")) & (F.col("__mix_rank") == F.col("__mix_r")) & (F.col("__mix_unit") == F.col("__mix_u")), "left")
     slot = F.coalesce("__mix_slot", F.greatest("__mix_far", F.floor(F.col("__mix_unit") / F.col("__mix_share"))))
     kept = [F.col(c) for c in docs.columns if c.lower() not in _COLUMNS]

@@ -1,4 +1,4 @@
-"""Source text to FUNCSIG rows: Python by its own grammar, JSON shapes, SQL schemas, script parts of components."""
+"""Source text to FUNCSIG rows: Python by its own grammar, Go by ours, JSON shapes, SQL schemas, script parts of components."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import constants as K
 from driftlens.schema import FUNCSIG
+from driftlens.sources import go_signals
 
 ROOTS = frozenset("_engine _impl _inner _delegate _wrapped _backend _real _target".split())
 _CONST = re.compile(r"[A-Z][A-Z0-9_]{2,}\Z")
@@ -235,8 +236,10 @@ def script_parts(text: str) -> str:
     return "".join(out) + blank(text[at:])
 
 
-EXTRACTORS = {".py": python_functions}
-SYMBOLS = {".py": python_tables, ".json": json_shapes}
+EXTRACTORS = {".py": python_functions, ".go": go_signals.go_functions}
+SYMBOLS = {".py": python_tables, ".go": go_signals.go_tables, ".json": json_shapes}
+BRANCHES = {".go": go_signals.go_branches}
+VALUES = {".go": go_signals.go_values}
 
 
 def extracted(files: DataFrame, extractors: dict | None = None) -> DataFrame:
@@ -248,7 +251,7 @@ def extracted(files: DataFrame, extractors: dict | None = None) -> DataFrame:
         for pdf in batches:
             rows = [r for file, text in zip(pdf["file"], pdf["text"]) for r in chosen["." + file.rsplit(".", 1)[-1].lower()](file, text or "")]
             if rows:
-                yield pd.DataFrame(rows, columns=FUNCSIG.fieldNames())
+                yield pd.DataFrame([_row(**r) for r in rows], columns=FUNCSIG.fieldNames())
 
     return files.where(ext.isin(list(chosen))).select("file", "text").mapInPandas(run, FUNCSIG)
 
@@ -257,6 +260,16 @@ def functions(files: DataFrame) -> DataFrame:
     return extracted(files)
 
 
+def branches(files: DataFrame) -> DataFrame:
+    """Arms of the outermost conditionals."""
+    return extracted(files, BRANCHES)
+
+
+def value_sites(files: DataFrame) -> DataFrame:
+    """Literals where they are bound to a name."""
+    return extracted(files, VALUES)
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """Module tables, JSON shapes (of equal key sets the first by file) and SQL schemas."""
     found = extracted(files, SYMBOLS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftlens.functions import columns as X
 from driftlens.functions import constants as K
@@ -13,26 +14,39 @@ SEP = "\u0001"
 
 
 def term_hits(docs: DataFrame, pattern: str, *, path: Column, text: Column, lower: bool = False) -> DataFrame:
-    """path, pos, term of each match in the prose of each document. pos counts the matches of a document."""
-    found = F.regexp_extract_all(text, F.lit(f"{K.ASCII_B}({pattern}){K.ASCII_B}"), 1)
-    hits = docs.select(path.alias("path"), F.posexplode(found).alias("pos", "term"))
+    """path, line, term of each match in the prose of each document. Lines count in the prose, after what is no prose went; no term spans two."""
+    found = F.regexp_extract_all("line_text", F.lit(f"{K.ASCII_B}({pattern}){K.ASCII_B}"), 1)
+    lines = docs.select(path.alias("path"), F.posexplode(F.split(text, "\n")).alias("no", "line_text"))
+    hits = lines.select("path", (F.col("no") + 1).alias("line"), F.explode(found).alias("term"))
     return hits.withColumn("term", F.lower("term")) if lower else hits
 
 
 def tally(hits: DataFrame, max_locs: int = 3) -> DataFrame:
-    """term, count and the first places; places are summed up to a few before each shuffle, so no list grows with the count."""
-    counts = hits.groupBy("term", "path").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    per = counts.groupBy("term").agg(F.sum("n").alias("count"), F.count("*").alias("files"), F.min("path").alias("first_path"))
-    return per
+    """term, count, files, first_path and, unless max_locs is 0, locs: the first max_locs places (path, line), a place for each hit.
+
+    Hits are summed up by file before they move; of a term's places only the first few of each task do, so no list grows with the count.
+    """
+    counts = hits.groupBy("term", "path").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("count"), F.count("*").alias("files"), F.min("path").alias("first_path"))
+    if not max_locs:
+        return counts
+    first = Window.partitionBy("term").orderBy("path", "line")
+    few = hits.withColumn("rk", F.row_number().over(first)).where(F.col("rk") <= max_locs).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("locs"))
+    return counts.join(few, "term").select("term", "count", "files", "first_path", "locs")
+
+
+def report_filter(terms: DataFrame, least: int = 1, most: int | None = None, everything: bool = False) -> DataFrame:
+    """Terms of a report by count, most frequent first, ties by term; ``everything`` lifts both bounds."""
+    kept = terms if everything else terms.where((F.col("count") >= least) & (F.col("count") <= most if most else F.lit(True)))
+    return kept.orderBy(F.col("count").desc(), "term")
 
 
-def compounds(docs: DataFrame, *, path: Column, text: Column) -> DataFrame:
-    return tally(term_hits(docs, K.COMPOUND, path=path, text=X.strip_non_prose(text)))
+def compounds(docs: DataFrame, *, path: Column, text: Column, max_locs: int = 3) -> DataFrame:
+    return tally(term_hits(docs, K.COMPOUND, path=path, text=X.strip_non_prose(text)), max_locs)
 
 
-def content_words(docs: DataFrame, *, path: Column, text: Column) -> DataFrame:
+def content_words(docs: DataFrame, *, path: Column, text: Column, max_locs: int = 3) -> DataFrame:
     words = term_hits(docs, K.CONTENT_WORD, path=path, text=X.strip_non_prose(text), lower=True)
-    return tally(words.where(~F.col("term").isin(K.SYNONYM_STOP)))
+    return tally(words.where(~F.col("term").isin(K.SYNONYM_STOP)), max_locs)
 
 
 def violations(terms: DataFrame, allowed: DataFrame, threshold: int = 5) -> DataFrame:

@@ -48,8 +48,11 @@ STRIP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 
 def terms(table: str, text: str, path: str, pattern: str, lower: bool, stop: list[str]) -> str:
     term = "lower(term)" if lower else "term"
-    return f"""hits AS (SELECT CAST({path} AS VARCHAR) AS path, unnest(regexp_extract_all({text}, '\\b{pattern.replace("'", "''")}\\b')) AS term FROM {table}),
-    tally AS (SELECT {term} AS term, count(*) AS count, count(DISTINCT path) AS files, min(path) AS first_path FROM hits GROUP BY 1),
+    return f"""texts AS (SELECT CAST({path} AS VARCHAR) AS path, string_split({text}, chr(10)) AS ls FROM {table}),
+    lines AS (SELECT path, unnest(ls) AS lt, unnest(range(1, len(ls) + 1)) AS line FROM texts),
+    hits AS (SELECT path, line, unnest(regexp_extract_all(lt, '\\b{pattern.replace("'", "''")}\\b')) AS raw FROM lines),
+    placed AS (SELECT {term.replace("term", "raw")} AS term, path, line, row_number() OVER (PARTITION BY {term.replace("term", "raw")} ORDER BY path, line) AS nth FROM hits),
+    tally AS (SELECT term, count(*) AS count, count(DISTINCT path) AS files, min(path) AS first_path, string_agg(path || ':' || line, ' ' ORDER BY path, line) FILTER (nth <= 3) AS locs FROM placed GROUP BY 1),
     kept AS (SELECT * FROM tally WHERE NOT list_contains({q(stop)}, term))"""
 
 
@@ -87,7 +90,7 @@ ORACLES: dict[str, str] = {
         SELECT left_key, right_key, round(least(1.0, score * boost), 6) AS score, round(boost, 6) AS dist_boost FROM b WHERE least(1.0, score * boost) >= 0.18""",
     "nearest_document": f"""WITH {_doc_pairs('a.key <> b.key')}, r AS (SELECT left_key, right_key, score, row_number() OVER (PARTITION BY left_key ORDER BY score DESC, right_key) AS rank FROM scored WHERE score >= 0.45)
         SELECT left_key, right_key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
-    "name_stem_documents": f"""WITH d AS (SELECT source || '/' || lang AS file, source || '/' || lang || '::doc' || doc_id AS key, array_to_string(regexp_extract_all(lower(text), '[a-z]{{4,}}')[1:30], '_') AS name FROM documents),
+    "name_stem_documents": f"""WITH d AS (SELECT source || '/' || lang AS file, source || '/' || lang || '::doc' || doc_id AS key, array_to_string(regexp_extract_all(lower(text), '[a-z]{{4,}}'), '_') AS name FROM documents),
         st AS (SELECT *, {stems('name')} AS stem FROM d), tok AS (SELECT key, unnest(stem) AS t FROM st), {capped('tok')}
         SELECT left_key, right_key, round({jac('a.stem', 'b.stem')}, 6) AS stem_jaccard, round({jac('a.stem', 'b.stem')}, 6) AS jaccard, a.file <> b.file AS cross_file
         FROM met JOIN st a ON a.key = left_key JOIN st b ON b.key = right_key WHERE {jac('a.stem', 'b.stem')} >= 0.6""",
@@ -111,8 +114,8 @@ ORACLES: dict[str, str] = {
         f AS (SELECT 'handlers::' || callee AS key, callee AS name, {stems('callee')} AS stem, c, s FROM cs JOIN sh USING (callee)), tok AS (SELECT key, unnest(c) AS t FROM f), {capped('tok', 8)}
         SELECT left_key, right_key, round({jac('a.c', 'b.c')}, 6) AS caller_jaccard, round({jac('a.s', 'b.s')}, 6) AS shape_jaccard, false AS cross_file, CASE WHEN {jac('a.stem', 'b.stem')} >= 0.34 THEN round({jac('a.stem', 'b.stem')}, 6) ELSE 0.0 END AS jaccard
         FROM met JOIN f a ON a.key = left_key JOIN f b ON b.key = right_key WHERE {jac('a.c', 'b.c')} >= 0.2 AND {jac('a.s', 'b.s')} >= 0.2""",
-    "word_tally": f"WITH {WORDS} SELECT term, count, files, first_path FROM kept",
-    "compound_tally": f"WITH {COMPOUNDS} SELECT term, count, files, first_path FROM kept",
+    "word_tally": f"WITH {WORDS} SELECT term, count, files, first_path, locs FROM kept",
+    "compound_tally": f"WITH {COMPOUNDS} SELECT term, count, files, first_path, locs FROM kept",
     "vocab_violations": f"WITH {WORDS} SELECT term, count FROM kept WHERE count >= 5 AND term NOT IN (SELECT DISTINCT lower(r) FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS r FROM benchmark))",
     "stem_clusters": f"WITH {WORDS}, k AS (SELECT *, {STEM_KEY.format(t='term', last='term')} AS stem FROM kept) SELECT stem, count(*) AS variants, CAST(sum(count) AS BIGINT) AS total, min(term) AS first_term FROM k GROUP BY stem HAVING count(*) >= 2 AND sum(count) >= 3",
     "strip_non_prose": f"SELECT doc_id, length({STRIP.format(t='text')}) AS n, md5({STRIP.format(t='text')}) AS digest FROM documents",
@@ -132,7 +135,7 @@ ORACLES: dict[str, str] = {
     "json_key_shapes": "SELECT array_to_string(list_sort(json_keys(props)), ',') AS shape, count(*) AS n FROM events GROUP BY 1",
     "opposed_verbs": f"""WITH t AS (SELECT DISTINCT event_type AS e FROM events), v AS (SELECT unnest(['add', 'remove', 'start', 'stop', 'complete', 'get', 'set', 'find', 'search']) AS w), n AS (SELECT w || '_' || e AS name, w, e FROM v, t)
         SELECT a.name AS left, b.name AS right, a.e = b.e AND list_contains({OPPOSED}, a.w || '/' || b.w) AS opposed FROM n a JOIN n b ON a.name < b.name""",
-    "op_type_documents": f"""WITH d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z]{{4,}}')[1:30], '_') AS name FROM documents), s AS (SELECT doc_id, {stems('name')} AS stem FROM d)
+    "op_type_documents": f"""WITH d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z]{{4,}}'), '_') AS name FROM documents), s AS (SELECT doc_id, {stems('name')} AS stem FROM d)
         SELECT doc_id, {_op_type('stem')} AS op FROM s""",
     "test_path_flags": r"""WITH u AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/$', '') AS p FROM pages), b AS (SELECT page_id, p, string_split(p, '/') AS seg FROM u)
         SELECT page_id, len(list_intersect(list_transform(seg[1:len(seg) - 1], lambda x: lower(x)), ['tests', 'test', '__tests__', 'testdata', '__mocks__'])) > 0 OR regexp_matches(seg[len(seg)], '(_test\.go|_test\.py|_test\.rs)$') OR regexp_matches(seg[len(seg)], '^test_.*\.py$')

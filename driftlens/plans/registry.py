@@ -93,18 +93,23 @@ def touchpoint_clusters(spark, d):
     return found.select(F.array_join("members", " ").alias("members"), F.array_join("shared", " ").alias("shared"), r6("score"))
 
 
-def _words(spark, d):
-    return prose.content_words(A.table(spark, d, "documents"), path=F.col("doc_id").cast("string"), text=F.col("text"))
+def _words(spark, d, max_locs=0):
+    return prose.content_words(A.table(spark, d, "documents"), path=F.col("doc_id").cast("string"), text=F.col("text"), max_locs=max_locs)
+
+
+def _with_places(terms):
+    places = F.array_join(F.transform("locs", lambda x: F.concat_ws(":", x["path"], x["line"].cast("string"))), " ")
+    return terms.withColumn("locs", places)
 
 
 @query
 def word_tally(spark, d):
-    return _words(spark, d)
+    return _with_places(_words(spark, d, 3))
 
 
 @query
 def compound_tally(spark, d):
-    return prose.compounds(A.table(spark, d, "pages"), path=F.col("page_id").cast("string"), text=F.col("url"))
+    return _with_places(prose.compounds(A.table(spark, d, "pages"), path=F.col("page_id").cast("string"), text=F.col("url")))
 
 
 @query
@@ -198,7 +203,7 @@ def opposed_verbs(spark, d):
 
 @query
 def op_type_documents(spark, d):
-    w = A.table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1), 1, 30), "_").alias("name"))
+    w = A.table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1), "_").alias("name"))
     none = F.array().cast("array<string>")
     return w.select("doc_id", X.op_type(X.stem_tokens("name"), none, none).alias("op"))
 

@@ -20,8 +20,8 @@ def doc_lines(docs: DataFrame) -> DataFrame:
 
 
 def doc_words(docs: DataFrame) -> DataFrame:
-    """A document is a function named by its first thirty words of four letters or more."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1), 1, 30)
+    """A document is a function named by all its words of four letters or more."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)
     q = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     return prepared(docs.select(F.concat_ws("/", "source", "lang").alias("file"), q.alias("qualname"), F.array_join(words, "_").alias("name"), F.lit(10).alias("n_lines")))
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from driftlens.functions import columns as X
 from driftlens.operators import calibrate, passes, prose, rank, registry, touchpoint
 from driftlens.operators.prepare import within
-from driftlens.plans.oracles import ORACLES
+from driftlens.plans import code
+from driftlens.plans.oracles import ORACLES as OWN
 from driftlens.sources import adapters as A
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(code.QUERIES)
+ORACLES: dict[str, str] = OWN | code.ORACLES
 r6 = lambda c: F.round(c, 6).alias(c)
 
 

@@ -67,7 +67,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-BATCH = 8 << 20  # bytes of an Arrow batch
+BATCH = 2 << 20  # bytes of an Arrow batch
 
 
 _shipped: set[str] = set()

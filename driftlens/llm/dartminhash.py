@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 SLACK = 5.0  # standard deviations below THRESHOLD at which signatures rule a pair out
 SMALL, BLOCK = 24, 512
 SALTS = 8
-CHUNK, TEXTS = 1 << 19, 256  # characters and texts that are hashed at a time
+CHUNK, TEXTS = 1 << 18, 128  # characters and texts that are hashed at a time
 BITS = 1 << 24  # of the bitmap that saves moving texts
 DARTS = K * math.log(K) + 2 * K
 EDGES = [0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, *[2.0**i for i in range(60)]]  # of the strips of rank

@@ -67,7 +67,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Tempered log-likelihood of each text under each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        step, at = 1 << 19, 0
+        step, at = 1 << 18, 0
         while at < len(texts):  # some megabytes of text at a time
             to, size = at, 0
             while to < len(texts) and (size == 0 or size < step):

@@ -38,8 +38,8 @@ GRAM = 25
 MOST = 1024
 LEAST_HOT = 1000  # rows of a key below which it is never hot
 SALTS = 16
-KNOWN = 1 << 17  # words whose hashes a Python worker remembers
-CHARS = 1 << 20  # of text in hand at once
+KNOWN = 1 << 16  # words whose hashes a Python worker remembers
+CHARS = 1 << 18  # of text in hand at once
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 

@@ -22,7 +22,8 @@ replaced; a table without rows gives none.
 
 Scale: rows are numbered within (source, slice of the order), a slice being one of ``SLICES`` ranges of a hash, and moved up by the
 counts of the slices before; a source with a third of all rows is spread over all slices. Only ids move, not texts,
-unless texts are asked for in order. Plan and rows meet by (source, unit), of which each has a few rows. Tables of sources, a row each, are small.
+unless texts are asked for in order. Plan and slices meet by (source, unit), of which each has a row; rows take their slots from their slice's, where they
+are already. Tables of sources, a row each, are small.
 """
 
 from __future__ import annotations
@@ -158,29 +159,30 @@ def unit_slots(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", key: str = "doc_id", seed: str = "mix", block_docs: int = BLOCK_DOCS, temper: float = TEMPER) -> DataFrame:
     """docs with the columns mix_tier, mix_slot, mix_at: its place is their order; a slot holds one unit of one source."""
     unit = max(1, block_docs // 3)
-    # all names of its own begin with __mix_
+    # all names of its own begin with __mix_; a source without nulls, so that rows need no second shuffle to meet their slots
     s, h, cut = "__mix_source", "__mix_hash", "__mix_slice"
-    base = docs.withColumn(s, F.col(source).cast("string")).withColumn(h, F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+    base = docs.withColumn(s, named).withColumn(h, F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
     digits = len(f"{SLICES - 1:x}")
     base = base.withColumn(cut, F.floor(F.conv(F.substring(h, 1, digits), 16, 10).cast("int") / F.lit(16**digits // SLICES)).cast("int"))
-    counts = base.groupBy(s, cut).agg(F.count("*").alias("n"))
-    sources = written(weighed(counts.groupBy(F.col(s).alias("source")).agg(F.sum("n").alias("n")), targets, temper, unit), "sources")
+    counts = written(base.groupBy(s, cut).agg(F.count("*").alias("n")), "counts")
+    real = F.when(F.col(s) != "", F.expr(f"substring({s}, 2)"))
+    sources = written(weighed(counts.groupBy(s).agg(F.sum("n").alias("n")).select(real.alias("source"), "n"), targets, temper, unit), "sources")
     slots, far = unit_slots(sources)
-    # rows of a source in slices before this one: SLICES rows a source
+    # units of each slice, and the slots of these; a slice is a 1024th of a source
     upto = Window.partitionBy(s).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     share = F.col("w") / F.sum("w").over(Window.partitionBy("tier"))
-    known = sources.withColumn("share", share).join(far, "tier").select(F.col("source").alias("__mix_of"), F.col("tier").alias("__mix_tier"), F.col("rank").alias("__mix_rank"), F.col("share").alias("__mix_share"), F.col("far").alias("__mix_far"))
-    before = counts.select(F.col(s).alias("__mix_b"), F.col(cut).alias("__mix_cut"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__mix_before"))
-    offsets = before.join(known, F.col("__mix_b").eqNullSafe(F.col("__mix_of")))
+    known = sources.withColumn("share", share).join(far, "tier").select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias(s), "tier", "rank", "share", "far")
+    before = counts.select(s, cut, "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")).join(known, s)
+    lo, hi = _div(F.col("before"), _long(unit)), _div(F.col("before") + F.col("n") - 1, _long(unit))
+    own = before.select(s, cut, "tier", "rank", "share", "far", "before", lo.alias("lo"), F.explode(F.sequence(lo, hi)).alias("i"))
+    slot = F.coalesce("slot", F.greatest("far", F.floor(F.col("i") / F.col("share"))))
+    found = own.join(slots, ["tier", "rank", "i"], "left").groupBy(s, cut).agg(F.first("tier").alias("__mix_tier"), F.first("before").alias("__mix_before"), F.first("lo").alias("__mix_lo"), F.array_sort(F.collect_list(F.struct("i", slot.alias("slot")))).alias("__mix_slots"))
     numbered = base.withColumn("__mix_nth", F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1)
-    at = numbered.join(offsets, F.col(s).eqNullSafe(F.col("__mix_b")) & (F.col(cut) == F.col("__mix_cut"))).withColumn("__mix_i", F.col("__mix_before") + F.col("__mix_nth"))
-    at = at.withColumn("__mix_unit", _div(F.col("__mix_i"), _long(unit)))
-    # the plan grows with the corpus, whatever its compressed size
-    unit_at = slots.select(F.col("tier").alias("__mix_t"), F.col("rank").alias("__mix_r"), F.col("i").alias("__mix_u"), F.col("slot").alias("__mix_slot")).hint("merge")
-    met = at.join(unit_at, (F.col("__mix_tier") == F.col("__mix_t")) & (F.col("__mix_rank") == F.col("__mix_r")) & (F.col("__mix_unit") == F.col("__mix_u")), "left")
-    slot = F.coalesce("__mix_slot", F.greatest("__mix_far", F.floor(F.col("__mix_unit") / F.col("__mix_share"))))
+    at = numbered.join(found, [s, cut]).withColumn("__mix_i", F.col("__mix_before") + F.col("__mix_nth"))
+    mine = F.get("__mix_slots", (_div(F.col("__mix_i"), _long(unit)) - F.col("__mix_lo")).cast("int"))
     kept = [F.col(c) for c in docs.columns if c.lower() not in _COLUMNS]
-    return met.select(*kept, F.col("__mix_tier").alias("mix_tier"), slot.alias("mix_slot"), F.pmod("__mix_i", _long(unit)).cast("int").alias("mix_at"))
+    return at.select(*kept, F.col("__mix_tier").alias("mix_tier"), mine["slot"].alias("mix_slot"), F.pmod("__mix_i", _long(unit)).cast("int").alias("mix_at"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", **how) -> DataFrame:

@@ -177,7 +177,8 @@ def placed(docs: DataFrame, targets: dict[str, float] | None = None, *, source:
     lo, hi = _div(F.col("before"), _long(unit)), _div(F.col("before") + F.col("n") - 1, _long(unit))
     own = before.select(s, cut, "tier", "rank", "share", "far", "before", lo.alias("lo"), F.explode(F.sequence(lo, hi)).alias("i"))
     slot = F.coalesce("slot", F.greatest("far", F.floor(F.col("i") / F.col("share"))))
-    found = own.join(slots, ["tier", "rank", "i"], "left").groupBy(s, cut).agg(F.first("tier").alias("__mix_tier"), F.first("before").alias("__mix_before"), F.first("lo").alias("__mix_lo"), F.array_sort(F.collect_list(F.struct("i", slot.alias("slot")))).alias("__mix_slots"))
+    # the plan grows with the corpus, whatever its compressed size: it is never broadcast
+    found = own.join(slots.hint("merge"), ["tier", "rank", "i"], "left").groupBy(s, cut).agg(F.first("tier").alias("__mix_tier"), F.first("before").alias("__mix_before"), F.first("lo").alias("__mix_lo"), F.array_sort(F.collect_list(F.struct("i", slot.alias("slot")))).alias("__mix_slots"))
     numbered = base.withColumn("__mix_nth", F.row_number().over(Window.partitionBy(s, cut).orderBy(h, key)) - 1)
     at = numbered.join(found, [s, cut]).withColumn("__mix_i", F.col("__mix_before") + F.col("__mix_nth"))
     mine = F.get("__mix_slots", (_div(F.col("__mix_i"), _long(unit)) - F.col("__mix_lo")).cast("int"))

@@ -80,7 +80,7 @@ def value_sites_parts(spark, d):
 
 @query
 def call_context(spark, d):
-    found = passes.call_context_candidates(A.user_context(A.table(spark, d, "events")), min_caller_jaccard=0.2, min_shape_jaccard=0.2)
+    found = passes.call_context_candidates(A.customer_context(A.table(spark, d, "customer")))
     return found.select("left_key", "right_key", r6("caller_jaccard"), r6("shape_jaccard"), "cross_file", r6("jaccard"))
 
 

@@ -60,11 +60,11 @@ def part_seams(part: DataFrame) -> DataFrame:
     return prepared(part.select(F.col("p_type").alias("file"), key.alias("qualname"), key.alias("name"), F.lit(10).alias("n_lines"), F.array(call).alias("calls"), F.array(word).alias("strings")))
 
 
-def user_context(events: DataFrame) -> DataFrame:
-    """Users call handlers of their event types and keys; what follows a call is the size of its value."""
-    handler = F.concat(F.lit("on_"), F.col("event_type"), F.lit("_"), F.get_json_object("props", "$.k"))
-    shape = F.concat(F.lit("value-"), F.floor(F.col("value") / 10).cast("long").cast("string"))
-    calls = events.select(F.concat(F.lit("user_u"), F.col("user_id").cast("string")).alias("name"), handler.alias("callee"), shape.alias("tag"))
+def customer_context(customers: DataFrame) -> DataFrame:
+    """Customers call a fetcher and a reader of their group; what follows a call depends on the customer's number."""
+    n = F.col("c_custkey")
+    each = lambda verb, k: F.struct(F.concat(F.lit(verb + "_g"), (n % 400).cast("string")).alias("callee"), F.concat(F.lit("arg-count:"), (n % k).cast("string")).alias("tag"))
+    calls = customers.select(F.concat(F.lit("user_u"), n.cast("string")).alias("name"), F.explode(F.array(each("fetch", 3), each("read", 4))).alias("e")).select("name", "e.*")
     # every user and every handler is a row; the users carry the calls
     users = calls.groupBy("name").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
     tags = calls.groupBy("name", "callee").agg(F.array_sort(F.collect_set("tag")).alias("tags")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("callee", "tags"))).alias("call_result_shapes"))

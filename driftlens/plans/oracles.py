@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
         t AS (SELECT key, a AS symbol FROM f UNION ALL SELECT key, b FROM f)
         SELECT symbol, count(*) AS fanout, round(1.0 / count(*) * CASE WHEN symbol LIKE '\\_%' ESCAPE '\\' THEN 1.6 ELSE 1.0 END, 6) AS rarity, array_to_string(list_sort(list(key)), ' ') AS members FROM t GROUP BY symbol HAVING count(*) BETWEEN 2 AND 8""",
     "call_context": f"""WITH e AS (SELECT 'user_u' || c_custkey AS caller, 'fetch_g' || (c_custkey % 400) AS callee, 'arg-count:' || (c_custkey % 3) AS tag FROM customer
-        UNION ALL SELECT 'user_u' || c_custkey, 'read_g' || (c_custkey % 400), 'arg-count:' || (c_custkey % 4) FROM customer),
+        UNION ALL SELECT 'user_u' || c_custkey, 'read_g' || (c_custkey % 400), 'arg-count:' || CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 ELSE c_custkey % 3 END FROM customer),
         cs AS (SELECT callee, list_distinct(list(t)) AS c FROM (SELECT callee, unnest({stems('caller')}) AS t FROM e) GROUP BY callee), sh AS (SELECT callee, list_distinct(list(tag)) AS s FROM e GROUP BY callee),
         f AS (SELECT 'handlers::' || callee AS key, callee AS name, {stems('callee')} AS stem, c, s FROM cs JOIN sh USING (callee)), tok AS (SELECT key, unnest(c) AS t FROM f), {capped('tok', 8)}
         SELECT left_key, right_key, round({jac('a.c', 'b.c')}, 6) AS caller_jaccard, round({jac('a.s', 'b.s')}, 6) AS shape_jaccard, false AS cross_file, CASE WHEN {jac('a.stem', 'b.stem')} >= 0.34 THEN round({jac('a.stem', 'b.stem')}, 6) ELSE 0.0 END AS jaccard

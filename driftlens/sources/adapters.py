@@ -63,8 +63,8 @@ def part_seams(part: DataFrame) -> DataFrame:
 def customer_context(customers: DataFrame) -> DataFrame:
     """Customers call a fetcher and a reader of their group; what follows a call depends on the customer's number."""
     n = F.col("c_custkey")
-    each = lambda verb, k: F.struct(F.concat(F.lit(verb + "_g"), (n % 400).cast("string")).alias("callee"), F.concat(F.lit("arg-count:"), (n % k).cast("string")).alias("tag"))
-    calls = customers.select(F.concat(F.lit("user_u"), n.cast("string")).alias("name"), F.explode(F.array(each("fetch", 3), each("read", 4))).alias("e")).select("name", "e.*")
+    each = lambda verb, tag: F.struct(F.concat(F.lit(verb + "_g"), (n % 400).cast("string")).alias("callee"), F.concat(F.lit("arg-count:"), tag.cast("string")).alias("tag"))
+    calls = customers.select(F.concat(F.lit("user_u"), n.cast("string")).alias("name"), F.explode(F.array(each("fetch", n % 3), each("read", F.when(n % 5 == 0, n % 4).otherwise(n % 3)))).alias("e")).select("name", "e.*")
     # every user and every handler is a row; the users carry the calls
     users = calls.groupBy("name").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
     tags = calls.groupBy("name", "callee").agg(F.array_sort(F.collect_set("tag")).alias("tags")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("callee", "tags"))).alias("call_result_shapes"))

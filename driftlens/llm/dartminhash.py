@@ -13,9 +13,11 @@ agree in a coordinate with the probability of their similarity; of the dart ther
 *Join.* Equal texts are one node (MD5 of the text). ``K / ROWS`` bands of ``ROWS`` coordinates make buckets. (1) Every node of a bucket is held
 against the bucket's smallest node; (2) signatures drop the pairs that are far off (5 standard deviations); (3) the
 rest is verified on the whole texts; (4) components. (5) Buckets whose nodes then lie in different components: all pairs across
-components are tried as well, in small buckets by a join, in large ones in blocks of ``BLOCK`` nodes, so no
-link that shares a bucket is lost and no task gets an unbounded group; then (2) to (4) again. A pair of similarity 0.8
-shares no bucket with probability 5e-8. Classes are components.
+components are tried as well, so no link that shares a bucket is lost. In small buckets a join makes the pairs, and (2) to (4) follow.
+Pairs of a large bucket grow with its square, so they never become rows: nodes outside the bucket's largest component meet
+all others in blocks of ``BLOCK`` nodes and ``HELD`` bytes of elements, and a block is verified at once by the elements of the whole texts, one
+sweep a node; what it returns are links between components, fewer than its nodes. No task gets an unbounded group. A pair of
+similarity 0.8 shares no bucket with probability 5e-8. Classes are components.
 
 Defined results: null and empty texts are equal texts (one class); repeated rows are copies; null ids are never
 a class id unless a class has none else; the class id is the smallest id of the class. A table without rows gives none.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,7 @@ WORDS = 5
 THRESHOLD = 0.8
 SLACK = 5.0  # standard deviations below THRESHOLD at which signatures rule a pair out
 SMALL, BLOCK = 24, 512
+HELD = 4 << 20  # bytes of elements in a block
 SALTS = 8
 CHUNK, TEXTS = 1 << 18, 128  # characters and texts that are hashed at a time
 BITS = 1 << 24  # of the bitmap that saves moving texts
@@ -167,20 +171,34 @@ def similarity(a: str | None, b: str | None) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def _signature_udf():
+def _by_portions(of):
+    """A function on texts from one that takes some at a time and gives bytes of each."""
+
     @F.pandas_udf("binary")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in through(batches):
             out, held, size = [], [], 0
             for t in [*s, None]:
                 held.append(t)
                 size += len(t or "")
                 if size > CHUNK or len(held) >= TEXTS or len(out) + len(held) == len(s) + 1:
-                    out += [x.tobytes() for x in signatures(held)]
+                    out += of(held)
                     held, size = [], 0
             yield pd.Series(out[: len(s)], dtype=object)
 
-    return sign
+    return each
+
+
+def _signature_udf():
+    return _by_portions(lambda texts: [x.tobytes() for x in signatures(texts)])
+
+
+def _elements_udf():
+    def of(texts: list[str | None]) -> list[bytes]:
+        who, what = elements(texts)
+        return [x.tobytes() for x in np.split(what, np.searchsorted(who, np.arange(1, len(texts))))]
+
+    return _by_portions(of)
 
 
 def _estimate_udf():
@@ -242,10 +260,14 @@ def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.withColumn("__byte", byte).where(F.col("__byte").bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0).select(*rows.columns)
 
 
+def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes wanted, and a few more."""
+    return _marked(docs.select(text_key(F.col(text)).alias("node"), F.col(text).alias("text")), wanted).dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Pairs (a, b) whose whole texts are similar enough. pairs: written."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    texts = written(_marked(docs.select(text_key(F.col(text)).alias("node"), F.col(text).alias("text")), needed).dropDuplicates(["node"]), "texts")
+    texts = written(_texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
     of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     held = pairs.join(of("a"), "a").join(of("b"), "b")
     return held.where(_similarity_udf()("text_a", "text_b") >= THRESHOLD).select("a", "b")
@@ -282,45 +304,86 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     tried = written(stars, "stars")
     first = written(_verified(written(_plausible(tried, nodes), "pairs"), docs, text), "links")
     labels = components(first)
-    rest = written(_across(members, labels, nodes).join(tried, ["a", "b"], "left_anti"), "across")
-    if rest.limit(1).count() == 0:
+    apart = written(_apart(members, labels), "apart")
+    small, large = apart.where(F.col("n") <= SMALL), apart.where(F.col("n") > SMALL)
+    found = []
+    if small.limit(1).count():
+        found.append(_verified(written(_across(small, nodes).join(tried, ["a", "b"], "left_anti"), "across"), docs, text))
+    if large.limit(1).count():
+        found.append(_in_blocks(large, docs, text))
+    if not found:
         return nodes, labels
-    more = written(_verified(rest, docs, text), "links")
+    more = written(reduce(DataFrame.union, found), "links")
     if more.limit(1).count() == 0:
         return nodes, labels
     return nodes, components(written(first.union(more), "links"))
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Plausible pairs a < b of nodes that share a bucket and lie in different components."""
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, n, label) of the buckets whose nodes lie in different components."""
     labeled = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labeled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    apart = written(labeled.join(mixed, "bucket", "left_semi"), "apart")
-    small = apart.where(F.col("n") <= SMALL)
+    return labeled.join(mixed, "bucket", "left_semi")
+
+
+def _across(small: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Plausible pairs a < b of nodes that share a bucket and lie in different components."""
     x, y = (small.select("bucket", F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
     pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))).select("a", "b").distinct()
-    found = _plausible(pairs, nodes)
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = apart.where(F.col("n") > SMALL).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "sig"), "node")
-    # each block meets each block once
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = large.select("bucket", "node", "label", "sig", "block", other).select("bucket", "node", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", ignore_index=True)
-        sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, K)
-        label, block = pd.factorize(group["label"])[0], group["block"].to_numpy()
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        out: list[tuple[bytes, bytes]] = []
-        nodes_here = group["node"].to_numpy()
-        for r in range(len(group) - 1):
-            near = (sig[r + 1 :] == sig[r]).sum(axis=1) >= LEAST * K
-            ok = near & (label[r + 1 :] != label[r]) & ((i == j) | (block[r + 1 :] != block[r]))
-            out += [(nodes_here[r], nodes_here[r + 1 + c]) for c in np.nonzero(ok)[0]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-    return found.union(spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")).distinct()
+    return _plausible(pairs, nodes)
+
+
+def _in_blocks(large: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) that join all components with a link in a bucket of large, each verified on the whole texts."""
+    wanted = written(large.select("node").distinct(), "wanted")
+    texts = _texts(docs, text, wanted).join(wanted, "node", "left_semi")
+    held = written(texts.select("node", _signature_udf()("text").alias("sig"), _elements_udf()("text").alias("elements")), "elements")
+
+    # nodes of the bucket's largest component need not meet each other: they have blocks of their own, after those of the rest
+    sums = large.join(held.select("node", F.length("elements").alias("size")), "node").groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    total = sums.groupBy("bucket").agg(F.max(F.struct("n", "size", "label")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / HELD)).cast("int")
+    one = parts(F.col("n"), F.col("size")) == 1
+    rest = F.when(one, 1).otherwise(parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")))
+    shape = total.select("bucket", F.col("most.label").alias("most"), rest.alias("rest"), F.when(one, 0).otherwise(parts(F.col("most.n"), F.col("most.size"))).alias("own"))
+    main = F.col("label") == F.col("most")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    block = F.when(main & (F.col("own") > 0), F.col("rest") + spot(F.col("own"))).otherwise(spot(F.col("rest")))
+    placed = large.join(shape, "bucket").select("bucket", "node", "label", main.alias("main"), block.alias("block"), "rest", "own")
+    # each block of the rest meets each block once
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("own")).otherwise(F.col("rest")) - 1)).alias("other")
+    met = placed.join(held, "node").select("bucket", "node", "label", "main", "sig", "elements", "block", other)
+    met = met.select("bucket", "node", "label", "main", "sig", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a binary, b binary").distinct()
+
+
+def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between the nodes of block i outside the main component and the rest of the group: as many as join all components that have any."""
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    asked = (group["block"] == i) & ~group["main"]
+    group = group.assign(later=~asked).sort_values(["later", "node"], ignore_index=True)
+    sig = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, K)
+    label, node = pd.factorize(group["label"])[0], group["node"].to_numpy()
+    size = group["elements"].str.len().to_numpy() // 8
+    start = np.cumsum(size) - size
+    codes, out = None, []
+    for r in range(int(asked.sum())):
+        at = r + 1 if i == j else int(asked.sum())
+        near = (label[at:] != label[r]) & ((sig[at:] == sig[r]).sum(axis=1) >= LEAST * K)
+        if not near.any():
+            continue
+        if codes is None:
+            codes = np.unique(np.frombuffer(b"".join(group["elements"]), dtype="<u8"), return_inverse=True)[1].astype(np.int32)
+            mark = np.zeros(int(codes.max()) + 1, dtype=np.uint8)
+        mine = codes[start[r] : start[r] + size[r]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[codes[start[at] :]], start[at:] - start[at], dtype=np.int64)
+        mark[mine] = 0
+        for c in at + np.flatnonzero(near & (both / (size[r] + size[at:] - both) >= THRESHOLD)):
+            if label[c] != label[r]:
+                out.append((min(node[r], node[c]), max(node[r], node[c])))
+                label[label == label[c]] = label[r]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -426,6 +426,27 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert kept.columns == documents(spark, rows, True).columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(_classes(rows)))
 
 
+@pytest.mark.parametrize("block, held", [(512, 4 << 20), (24, 30_000)])
+def test_near_duplicates_of_a_large_cluster(spark, monkeypatch, block, held):
+    """Most pairs of the cluster are plausible and no links; they must not become rows, which would grow with its square."""
+    rng, rows, tried = random.Random(5), [], []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(110):
+        w = list(base)
+        for at in rng.sample(range(5, 115, 3), 1 if i < 30 else 2 + i % 2):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "s"))
+    verified = dartminhash._verified
+    monkeypatch.setattr(dartminhash, "_verified", lambda pairs, *more: tried.append(pairs.count()) or verified(pairs, *more))
+    monkeypatch.setattr(dartminhash, "BLOCK", block)
+    monkeypatch.setattr(dartminhash, "HELD", held, raising=False)
+    monkeypatch.setattr(dartminhash, "SMALL", 4)
+    got = sorted((r.doc_id, r.class_id) for r in dartminhash.classes(documents(spark, rows)).collect())
+    assert got == sorted((r[0], c) for r, c in zip(rows, _classes(rows)))
+    assert len({c for _, c in got}) > 20
+    assert sum(tried[1:]) < len(rows)
+
+
 def test_near_duplicates_edges(spark):
     assert dartminhash.classes(documents(spark, [])).count() == 0 and dartminhash.one_of_each(documents(spark, [])).count() == 0
     same = documents(spark, [(7, "one and the same", "en", "s")] * 40 + [(None, "other text", "en", "s")] * 3)

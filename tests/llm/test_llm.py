@@ -384,6 +384,17 @@ def near_corpus(seed=0, groups=12, size=12):
     return rows
 
 
+def large_cluster():
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(110):
+        w = list(base)
+        for at in rng.sample(range(5, 115, 3), 1 if i < 30 else 2 + i % 2):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "s"))
+    return rows
+
+
 def _classes(rows):
     parent = list(range(len(rows)))
 
@@ -429,13 +440,7 @@ def test_near_duplicates(spark, monkeypatch, small):
 @pytest.mark.parametrize("block, held", [(512, 4 << 20), (24, 30_000)])
 def test_near_duplicates_of_a_large_cluster(spark, monkeypatch, block, held):
     """Most pairs of the cluster are plausible and no links; they must not become rows, which would grow with its square."""
-    rng, rows, tried = random.Random(5), [], []
-    base = [f"w{i}" for i in range(120)]
-    for i in range(110):
-        w = list(base)
-        for at in rng.sample(range(5, 115, 3), 1 if i < 30 else 2 + i % 2):
-            w[at] = f"x{i}"
-        rows.append((i, " ".join(w), "en", "s"))
+    rows, tried = large_cluster(), []
     verified = dartminhash._verified
     monkeypatch.setattr(dartminhash, "_verified", lambda pairs, *more: tried.append(pairs.count()) or verified(pairs, *more))
     monkeypatch.setattr(dartminhash, "BLOCK", block)
@@ -513,6 +518,21 @@ def test_pipeline(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
 
 
+def test_pipeline_on_a_large_cluster(spark, monkeypatch):
+    """The stages up to the third, with no row for each pair of the cluster."""
+    import corpus_pipeline
+
+    rows, tried = large_cluster(), []
+    verified = dartminhash._verified
+    monkeypatch.setattr(dartminhash, "_verified", lambda pairs, *more: tried.append(pairs.count()) or verified(pairs, *more))
+    monkeypatch.setattr(dartminhash, "SMALL", 4)
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").localCheckpoint()
+    first = set(_classes(rows))
+    assert {r.doc_id for r in kept.collect()} == first and sum(tried[1:]) < len(rows)
+    cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, kept, "").collect()}
+    assert set(cut) == first and cut[min(first)] == rows[min(first)][1] and sum(map(len, cut.values())) < sum(len(rows[i][1]) for i in first)
+
+
 def test_pipeline_edges(spark, tmp_path):
     """Nothing at all, extra columns of any name, and the order of the mix in what comes out."""
     import corpus_pipeline

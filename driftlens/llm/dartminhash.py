@@ -99,7 +99,9 @@ def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         lone[more] = _mix(lone[more] * np.uint64(_MUL) + word[first[short[more]] + j])
     who = np.concatenate([text[head], short])
     what = np.concatenate([shingle, lone])
-    order = np.lexsort((what, who))
+    # by text, then element: what ties is equal; numpy sorts small whole numbers in linear time
+    order = np.argsort(what)
+    order = order[np.argsort(who[order].astype(np.min_scalar_type(len(texts))), kind="stable")]
     who, what = who[order], what[order]
     new = np.ones(len(who), dtype=bool)
     new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
@@ -111,14 +113,15 @@ def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 _cdfs: dict[int, np.ndarray] = {}
 
 
-def _poisson(u: np.ndarray, strip: int) -> np.ndarray:
-    """Number of darts in a region whose strip of rank is the given one."""
+def _poisson(u: np.ndarray, strip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which regions have darts, and how many: regions in the given strip of rank."""
     if strip not in _cdfs:
         mean = EDGES[strip + 1] - EDGES[strip]
         top = int(mean + 12 * math.sqrt(mean) + 24)
         logs = [k * math.log(mean) - mean - math.lgamma(k + 1) for k in range(top)]
         _cdfs[strip] = np.cumsum(np.exp(logs))
-    return np.searchsorted(_cdfs[strip], u, side="right")
+    has = np.flatnonzero(u >= _cdfs[strip][0])
+    return has, np.searchsorted(_cdfs[strip], u[has], side="right")
 
 
 def signatures(texts: list[str | None]) -> np.ndarray:
@@ -133,27 +136,30 @@ def signatures(texts: list[str | None]) -> np.ndarray:
         mine = number[who] >= 0
         owner, element = number[who[mine]], what[mine]
         reach = far / weight[todo]
+        until = reach[owner]
         darts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for strip in range(len(EDGES) - 1):
-            near = reach[owner] > EDGES[strip]
-            if not near.any():
+            near = until > EDGES[strip]
+            if not near.all():
+                owner, element, until = owner[near], element[near], until[near]
+            if not len(owner):
                 break
-            own, base = owner[near], _mix(element[near] + np.uint64((strip + 1) * 0xA0761D6478BD642F % 2**64))
-            count = _poisson(_unit(base), strip)
-            has = count > 0
-            count = count[has]
-            own, base = np.repeat(own[has], count), np.repeat(base[has], count)
+            base = _mix(element + np.uint64((strip + 1) * 0xA0761D6478BD642F % 2**64))
+            has, count = _poisson(_unit(base), strip)
+            own, base, end = (np.repeat(x[has], count) for x in (owner, base, until))
             k = (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
             dart = _mix(base + (k + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
             rank = EDGES[strip] + (EDGES[strip + 1] - EDGES[strip]) * _unit(_mix(dart ^ np.uint64(0x8EBC6AF09C88C6E3)))
-            hit = rank < reach[own]
-            darts.append((own[hit] * K + (dart[hit] % np.uint64(K)).astype(np.int64), rank[hit], dart[hit]))
+            hit = np.flatnonzero(rank < end)
+            dart = dart[hit]
+            darts.append((own[hit] * K + (dart % np.uint64(K)).astype(np.int64), rank[hit], dart))
         place, rank, dart = (np.concatenate(x) for x in zip(*darts))
-        latest_first = np.argsort(-rank, kind="stable")
-        filled = np.zeros(len(todo) * K, dtype=bool)
-        filled[place] = True
+        earliest = np.full(len(todo) * K, np.inf)
+        np.minimum.at(earliest, place, rank)
+        filled = earliest < np.inf
         kept = np.zeros(len(todo) * K, dtype=np.uint64)
-        kept[place[latest_first]] = dart[latest_first]
+        first = np.flatnonzero(rank == earliest[place])
+        kept[place[first]] = dart[first]
         full = filled.reshape(-1, K).all(axis=1)
         out[todo[full]] = (kept.reshape(-1, K)[full] >> np.uint64(40)).astype(np.uint16)
         todo, far = todo[~full], far * 2

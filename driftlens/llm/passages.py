@@ -38,21 +38,44 @@ GRAM = 25
 MOST = 1024
 LEAST_HOT = 1000  # rows of a key below which it is never hot
 SALTS = 16
-KNOWN = 1 << 16  # words whose hashes a Python worker remembers
+LONG = 63  # code points up to which words are hashed side by side in numpy, three at a time; longer ones one by one
 CHARS = 1 << 18  # of text in hand at once
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        if len(self) >= KNOWN:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # there is none beyond
 
 
-_hashes = _Hashes()
-_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # there is none beyond
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    space = np.concatenate([[True], _SPACE[np.minimum(codes, len(_SPACE) - 1)], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _hashed(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word."""
+    size, h = ends - starts, np.zeros(len(starts), np.uint64)
+    code = np.concatenate([codes.astype(np.uint64) + np.uint64(1), np.zeros(2, np.uint64)])
+    code[ends] = 0  # so is what ends a word, and what follows that counts as nothing
+    live = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 3):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        i = starts[live] + at
+        second = code[i + 1]
+        x = h[live] + (code[i] | second << np.uint64(21) | np.where(second != 0, code[i + 2], np.uint64(0)) << np.uint64(42))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_ODD[0])
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_ODD[1])
+        h[live] = x ^ (x >> np.uint64(31))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return h
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,12 +108,11 @@ class _Words:
 
     def __init__(self, texts: list[str]):
         joined = "\n".join(texts)
-        words = joined.lower().split()
-        x = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        space = np.concatenate([[True], _SPACE[np.minimum(codes, len(_SPACE) - 1)], [True]])
-        edge = np.diff(space.astype(np.int8))
-        self.x, self.starts, self.ends = x, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.starts, self.ends = _places(_codes(joined))
+        lower = joined.lower()
+        codes = _codes(lower)
+        # a character may become two in lower case, never none: texts of one length have their words at the same places
+        x = self.x = _hashed(lower, codes, *((self.starts, self.ends) if len(lower) == len(joined) else _places(codes)))
         self.begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         self.text = np.searchsorted(self.begins, self.starts, "right") - 1
         self.few = len(x) < PASSAGE

@@ -1,6 +1,7 @@
 """Repeated passages against brute force over every run of words."""
 
 import collections
+import hashlib
 import random
 import re
 
@@ -12,6 +13,23 @@ from driftlens.llm import passages
 from tests.llm.test_llm import documents, words
 
 
+def test_words_are_hashed_in_numpy(monkeypatch):
+    """No call a word, which was most of the time of the pipeline's third stage; words are equal if they are in lower case."""
+    calls, blake2b = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda *a, **k: calls.append(a) or blake2b(*a, **k))
+    rng = random.Random(4)
+    texts = [words(rng, 900, 10**6) for _ in range(3)]
+    texts += ["İstanbul ΑΣ Σας ab\0c ab a\0 \0 \0\0 \U0010ffff\U0010ffff \u3000x\x1cX ", "", "y" * 63 + " " + "Y" * 63 + " é" * 60, "y" * 64 + " " + "Y" * 64]
+    texts += ["".join(rng.choice("aA bİ\0\nΣ\u3000𝒜") for _ in range(300)) for _ in range(50)]
+    joined = "\n".join(texts)
+    w, of = passages._Words(texts), collections.defaultdict(set)
+    lower = joined.lower().split()
+    assert len(calls) == 2 and [joined[s:e] for s, e in zip(w.starts, w.ends)] == joined.split()
+    for word, x in zip(lower, w.x.tolist(), strict=True):
+        of[word].add(x)
+    assert all(len(v) == 1 for v in of.values()) and len(set(w.x.tolist())) == len(of)
+
+
 def _brute(rows):
     """Spans of each row from every run of PASSAGE words, in the stated order."""
     seen, out, n = {}, collections.defaultdict(list), passages.PASSAGE

@@ -12,6 +12,7 @@ from driftlens.operators import gate, rank
 from driftlens.operators.prepare import prepared
 from driftlens.sources import adapters as A
 from driftlens.sources import extract
+from driftlens.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +76,7 @@ def _filled(template: str) -> Column:
 
 
 def _files(spark: SparkSession, d: str, template: str, ext: str) -> DataFrame:
-    return A.table(spark, d, "part").select(F.concat("p_brand", F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(ext)).alias("file"), _filled(template).alias("text"))
+    return spread(A.table(spark, d, "part")).select(F.concat("p_brand", F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(ext)).alias("file"), _filled(template).alias("text"))
 
 
 def query(oracle: str | None):
@@ -149,7 +150,7 @@ def sql_schemas_parts(spark, d):
     SELECT ret_keys, min(file) AS file, arg_min(name, file) AS name FROM s GROUP BY ret_keys""")
 def json_shapes_orders(spark, d):
     """Of equal key sets the first by file."""
-    o = A.table(spark, d, "orders")
+    o = spread(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100_000)
     key = F.col("o_custkey")
     text = F.format_string('{"id": %d, "k%d": null, "items": [{"size": 1, "x%d": [true]}, {"lone": 2}]}', "o_orderkey", key % 9, key % 5)
     files = o.select(F.concat(F.lit("c"), key.cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("file"), text.alias("text"))

@@ -19,6 +19,12 @@ def folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def spread(df: DataFrame, rows: int = 4000) -> DataFrame:
+    """df in as many tasks as there are cores, and in more where one would get more than so many rows: a small file of many rows is read by one or two tasks, whatever each row costs after that."""
+    n = -(-df.count() // rows)  # of a Parquet file this reads the footers
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a written table: no lineage, exact sizes for the planner, and nothing that a lost executor could take along."""
     spark = df.sparkSession

@@ -14,9 +14,11 @@ from driftlens.operators.prepare import not_dunder, size_gate, unique
 PRIVATE_BOOST = 1.6
 
 
-def seams(sigs: DataFrame, *, min_lines: int = 4, min_nodes: int = 0) -> DataFrame:
-    """(key, test, symbol, channel) of the seam symbols of each row: calls and constants that the corpus itself defines, strings, writes."""
-    pool = unique(sigs.where(size_gate(min_lines, min_nodes) & not_dunder()))
+def seams(sigs: DataFrame, *, min_lines: int = 4, min_nodes: int = 0, parts: int | None = None) -> DataFrame:
+    """(key, test, symbol, channel) of the seam symbols of each row: calls and constants that the corpus itself defines, strings, writes. parts: tasks among which rows are told apart; as they shrink when moved, their bytes say little of a task's memory."""
+    used = ["key", "line", "n_lines", "name", "test", "calls", "s_strings", "writes", "consts"]
+    rows = sigs.where(size_gate(min_lines, min_nodes) & not_dunder()).select(*used)
+    pool = unique(rows.repartition(parts, "key") if parts else rows)
     defs = sigs.where(F.col("name") != "").select(F.col("name").alias("symbol")).distinct()
     consts = sigs.select(F.explode("decl_consts").alias("symbol")).distinct()
     of = lambda col, ch: pool.select("key", "test", F.explode(col).alias("symbol"), F.lit(ch).alias("channel"))
@@ -30,22 +32,23 @@ def seams(sigs: DataFrame, *, min_lines: int = 4, min_nodes: int = 0) -> DataFra
     return private.unionByName(defined).unionByName(strings).unionByName(writes).unionByName(named)
 
 
-def seam_groups(sigs: DataFrame, *, min_lines: int = 4, max_fanout: int = 8) -> DataFrame:
+def seam_groups(sigs: DataFrame, *, min_lines: int = 4, max_fanout: int = 8, parts: int | None = None) -> DataFrame:
     """symbol, fanout, rarity, members, all_test of the symbols that 2 to max_fanout rows touch."""
-    touched = seams(sigs, min_lines=min_lines).select("symbol", "key", "test").distinct()
+    touched = seams(sigs, min_lines=min_lines, parts=parts).select("symbol", "key", "test")
+    touched = (touched.repartition(parts, "symbol") if parts else touched).distinct()
     fan = touched.groupBy("symbol").agg(F.count("*").alias("fanout")).where(F.col("fanout").between(2, max_fanout))
     few = touched.join(fan, "symbol")  # no group of more than max_fanout rows is gathered
     rarity = F.lit(1.0) / F.col("fanout") * F.when(F.col("symbol").startswith("_"), PRIVATE_BOOST).otherwise(1.0)
     return few.groupBy("symbol", "fanout").agg(F.array_sort(F.collect_list("key")).alias("members"), F.min("test").alias("all_test")).withColumn("rarity", rarity)
 
 
-def clusters(sigs: DataFrame, *, min_lines: int = 4, min_members: int = 3, max_fanout: int = 8, min_score: float = 0.40, include_tests: bool = False, top: int | None = 30) -> DataFrame:
+def clusters(sigs: DataFrame, *, min_lines: int = 4, min_members: int = 3, max_fanout: int = 8, min_score: float = 0.40, include_tests: bool = False, top: int | None = 30, parts: int | None = None) -> DataFrame:
     """members, shared (symbols, rarest first), score: groups fold into the first larger group that holds all their members.
 
     Folding only happens between groups with a common member, so each connected component is folded by itself; groups
     that nothing ties to another need no Python.
     """
-    groups = seam_groups(sigs, min_lines=min_lines, max_fanout=max_fanout).where(F.lit(True))
+    groups = seam_groups(sigs, min_lines=min_lines, max_fanout=max_fanout, parts=parts).where(F.lit(True))
     of = connected(groups.select(F.col("symbol").alias("item"), F.explode("members").alias("tie")))
     tied = groups.join(of, F.col("symbol") == F.col("item")).select("component", "symbol", "fanout", "rarity", "members", "all_test")
 

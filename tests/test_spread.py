@@ -32,3 +32,16 @@ def test_no_text_is_parsed_for_what_it_cannot_hold(spark):
     assert sorted((r.file, r.kind) for r in extract.symbols(files).collect()) == [("a.py", "table"), ("b.json", "corpus-field"), ("c.sql", "sql-table")]
     plan = extract.symbols(files)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 3 and plan.count(" IN (.py,.go)") + plan.count(" IN (.go,.py)") == 1
+
+
+def test_seams_are_told_apart_in_tasks_by_rows(spark):
+    """Not one exchange whose tasks Spark may merge by their bytes lies below the seams' groups."""
+    from driftlens.operators import touchpoint
+    from tests.rows import sigs
+
+    df = sigs(spark, *[{"file": f"{c}.go", "name": f"f{c}", "calls": ["_helper", f"_own_{c}"], "strings": ["shared_word"]} for c in "abc"], n_lines=10)
+    want = sorted((r.symbol, r.fanout, *r.members) for r in touchpoint.seam_groups(df).collect())
+    found = touchpoint.seam_groups(df, parts=7)
+    assert sorted((r.symbol, r.fanout, *r.members) for r in found.collect()) == want and {w[:2] for w in want} == {("_helper", 3), ("shared_word", 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key#" in plan and plan.count("REPARTITION_BY_NUM") >= 2

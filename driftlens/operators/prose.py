@@ -44,6 +44,14 @@ def compounds(docs: DataFrame, *, path: Column, text: Column, max_locs: int = 3)
     return tally(term_hits(docs, K.COMPOUND, path=path, text=X.strip_non_prose(text)), max_locs)
 
 
+def word_counts(docs: DataFrame, *, text: Column) -> DataFrame:
+    """term, count of content_words alone: no line and no path is told apart, so hits are summed up before anything moves."""
+    # a word holds no line end, and at either end of a line a word ends as well
+    found = F.regexp_extract_all(X.strip_non_prose(text), F.lit(f"{K.ASCII_B}({K.CONTENT_WORD}){K.ASCII_B}"), 1)
+    words = docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return words.groupBy(F.lower("term").alias("term")).agg(F.sum("n").alias("count")).where(~F.col("term").isin(K.SYNONYM_STOP))
+
+
 def content_words(docs: DataFrame, *, path: Column, text: Column, max_locs: int = 3) -> DataFrame:
     words = term_hits(docs, K.CONTENT_WORD, path=path, text=X.strip_non_prose(text), lower=True)
     return tally(words.where(~F.col("term").isin(K.SYNONYM_STOP)), max_locs)
